@@ -7,14 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glint.llm.langid_crossparse import op8_langid_crossparse
+from glint.llm import mixing_es
+from glint.llm.mixing_es import op6_mixing_es
 from glint.llm.quality_qda import op7_quality_qda
 from glint.llm.secret_scan import op10_secret_scan
 from glint.llm.toxicity_fuzzy import op5_toxicity_fuzzy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity_fuzzy": op5_toxicity_fuzzy,
+    "op6_mixing_es": op6_mixing_es,
     "op7_quality_qda": op7_quality_qda,
     "op8_langid_crossparse": op8_langid_crossparse,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_mixing_es": mixing_es.ORACLE,
+}

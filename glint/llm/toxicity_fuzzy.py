@@ -19,6 +19,7 @@ scores; without labels of both classes the score is the share of class 1 (0 with
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,10 +34,11 @@ from glint.llm.textarrays import Seen, blocks, spans
 
 #: Labelled rows of each class that are learned from, at most (about), and terms of the lexicon.
 SAMPLE, TERMS = 3000, 500
-#: A term is in at least so many toxic documents, and so large a share of its documents is toxic (both classes weighed alike).
-LEAST_DOCS, LEAST_SHARE = 4, 0.95
+#: A term has at least so many different neighbours in toxic documents (or this share of their number), and so large a
+#: share of its neighbours is toxic (both classes weighed alike).
+LEAST_DOCS, LEAST_RATE, LEAST_SHARE = 4, 0.01, 0.95
 #: Lengths of stems, and the different words that a stem begins at least.
-STEM_LENGTHS, STEM_WORDS = range(4, 9), 6
+STEM_LENGTHS, STEM_WORDS = range(3, 9), 6
 #: Words to either side of a hit that are its context.
 WINDOW = 8
 #: Code of a word: no hit, term, misspelled term, stem, misspelled stem.
@@ -57,7 +59,7 @@ class FuzzyTrie:
         self.stem: list[int] = [-1]
         for terms, ends in ((words, self.word), (stems, self.stem)):
             for term in terms:
-                node, allowed = 0, edits_allowed(len(term))
+                node, allowed = 0, edits_allowed(len(term) - 2 * (ends is self.stem))
                 for c in term:
                     self.most[node] = max(self.most[node], allowed)
                     if c not in self.child[node]:
@@ -145,7 +147,7 @@ class _Codes:
         self.codes = np.concatenate([self.codes, np.array([match(w.decode().lower().strip(strip)) for w in words], np.int8)])
 
 
-FEATURES = ("exact", "fuzzy", "stem", "fuzzy_stem", "quoted", "beside", "rate")
+FEATURES = ("exact", "fuzzy", "stem", "fuzzy_stem", "hits", "quoted", "beside", "rate")
 
 
 class Scorer:
@@ -169,7 +171,7 @@ class Scorer:
             weight = np.where(quoted, 0.5, 1.0)
             count = [np.bincount(doc[code[hit] == k], weight[code[hit] == k], n) for k in (EXACT, FUZZY, STEM, FUZZY_STEM)]
             total = sum(count)
-            x = [np.log1p(c) for c in count] + [np.log1p(np.bincount(doc[quoted], minlength=n)), np.log1p(np.bincount(doc, near, n))]
+            x = [np.minimum(c, 1) for c in count] + [np.log1p(total), np.log1p(np.bincount(doc[quoted], minlength=n)), np.log1p(np.bincount(doc, near, n))]
             rows.append(np.stack([*x, np.log1p(20 * total / np.maximum(np.diff(first), 1))], 1))
         return np.concatenate(rows) if rows else np.zeros((0, len(FEATURES)))
 
@@ -217,18 +219,38 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[flo
     return tuple(float(v) for v in w)
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word of three letters or more with the word before it, once a text."""
+    for b in batches:
+        for label, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
+            words = _LETTERS.findall((text or "").lower())
+            pairs = {(w, v) for w, v in zip(words, ["", *words]) if len(w) >= 3}
+            if pairs:
+                w, v = zip(*sorted(pairs), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(w), pa.int32()), pa.array(w), pa.array(v)], ["label", "word", "before"])
+
+
 def lexicon(sample: DataFrame, n1: int, n0: int) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """Words and stems from rows (text, label): a term's share of toxic documents, with both classes weighed alike."""
-    word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")
-    counts = sample.select("label", word).where(F.length("word") >= 3).groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    share = (F.col("a") / F.lit(max(n1, 1))) / (F.col("a") / F.lit(max(n1, 1)) + F.col("b") / F.lit(max(n0, 1)) + F.lit(0.2 / max(n0, n1, 1)))
-    top = lambda d: d.where((F.col("a") >= LEAST_DOCS) & (share >= LEAST_SHARE)).orderBy(F.desc("a"), "word").limit(TERMS)
-    stems = counts.select(F.explode(F.array(*[F.substring("word", 1, n) for n in STEM_LENGTHS])).alias("stem"), "word", "a", "b").where("word != stem and a + b > 0")
-    stems = stems.where(F.length("stem") >= STEM_LENGTHS[0]).groupBy(F.col("stem").alias("word")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("n")).where(F.col("n") >= STEM_WORDS)
+    """Words and stems from rows (text, label).
+
+    What is counted is not documents but different neighbours: a word of a text that has many copies, near ones too,
+    stands beside the same words in all of them, while a term of the lexicon turns up anywhere.
+    """
+    pairs = sample.select("label", "text").mapInArrow(_neighbours, "label int, word string, before string")
+    pairs = pairs.groupBy("word", "before").agg(F.max("label").alias("l1"), F.min("label").alias("l0"))
+    counts = pairs.groupBy("word").agg(F.sum("l1").alias("a"), F.sum(1 - F.col("l0")).alias("b"))
+    n1, n0 = max(n1, 1), max(n0, 1)
+    share = (F.col("a") / n1) / (F.col("a") / n1 + F.col("b") / n0 + F.lit(0.2 / max(n0, n1)))
+    top = lambda d: d.where((F.col("a") >= max(LEAST_DOCS, LEAST_RATE * n1)) & (share >= LEAST_SHARE)).orderBy(F.desc("a"), "word").limit(TERMS)
+    stems = counts.select(F.explode(F.array(*[F.substring("word", 1, n) for n in STEM_LENGTHS])).alias("stem"), "word", "a", "b").where("word != stem")
+    stems = stems.groupBy(F.col("stem").alias("word")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("n")).where(F.col("n") >= STEM_WORDS)
     got = [r["word"] for r in top(stems).collect()]
     kept = [s for s in got if not any(s != t and s.startswith(t) for t in got)]
-    words = [r["word"] for r in top(counts.where(F.col("b") * 20 <= F.col("a"))).collect()]
-    return tuple(sorted(w for w in words if not any(w.startswith(s) for s in kept))), tuple(sorted(kept))
+    found = [r["word"] for r in top(counts).collect()]
+    return tuple(sorted(w for w in found if not any(w.startswith(s) for s in kept))), tuple(sorted(kept))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
