@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glint.llm.shared import checkpointed
+
 #: Rows of a slice, about.
 SLICE_ROWS = 20_000
 #: A source is repeated so often at most.
@@ -72,7 +74,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS, most: i
 
 
 def mix(sized: DataFrame) -> DataFrame:
-    """``sized``: doc_id, source, size, weight, and more. Adds source_size, target and taken.
+    """``sized``: doc_id, source, size, weight, and more; cheap to read again. Adds source_size, target and taken.
 
     The number of sources is what the plan sorts in one task and joins back; that is a row a source.
     """
@@ -101,17 +103,30 @@ def op6_mixing_es(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of each document that the mix takes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("weight"))
-    return mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(checkpointed(sized)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _same(*columns: str) -> Column:
+    """Equality of columns of d and t, null like null; ids first, so that they are what is joined on."""
+    out = F.col(f"d.{columns[0]}").eqNullSafe(F.col(f"t.{columns[0]}"))
+    for c in columns[1:]:
+        out &= F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}"))
+    return out
+
+
 def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it; the last copy may be cut at a word's end."""
+    """Pipeline stage: each document as often as the mix takes it; the last copy may be cut at a word's end.
+
+    Rows that are equal in id, source and text count once in the mix, and each is then taken as often as that one.
+    """
     has = [c for c in docs.columns if c in _COLUMNS]
-    d = docs.withColumn("size", words(F.col("text"))).withColumn("weight", quality_weight(F.col("text")))
-    d = mix(d).where("taken > 0")
+    slim = docs.select("doc_id", "source", words(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("weight"), F.xxhash64("text").alias("_h"))
+    taken = mix(checkpointed(slim.distinct())).where("taken > 0")
+    d = docs.withColumn("_h", F.xxhash64("text")).alias("d").join(taken.select("doc_id", "source", "_h", "size", "taken").alias("t"), _same("doc_id", "source", "_h"))
+    d = d.select("d.*", "t.size", "t.taken")
     whole = F.floor(F.col("taken") / F.col("size"))
     part = F.pmod("taken", "size")
     copies = F.array_repeat(F.lit(None).cast("long"), whole.cast("int"))
