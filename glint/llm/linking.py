@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from glint.llm.shared import checkpointed
 #: Rounds of comparing with a pivot before the remaining pairs are compared.
 PIVOT_ROUNDS = 2
 #: Bits of the filter of shared buckets.
-FILTER_BITS = 1 << 23
+FILTER_BITS, FILTER_SHIFT = 1 << 24, 26
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -48,29 +49,27 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return members.groupBy("bucket").agg(F.min("vertex").alias("lo"), F.max("vertex").alias("hi")).where("lo != hi").select("bucket")
 
 
-def bucket_filter(buckets: DataFrame, bits: int = FILTER_BITS) -> bytes:
-    """A bit for the hash of each bucket: fixed size, so it may be sent anywhere. A set bit may be another's; a clear one is sure.
+def bucket_filter(buckets: DataFrame, column: str = "bucket", bits: int = FILTER_BITS) -> bytes:
+    """Two bits for each bucket, its lowest ones and those above: fixed size, so it may be sent anywhere.
 
-    Bit i is bit i % 8 of byte i // 8; a bucket's bit is its own lowest bits.
+    Two set bits may be others'; a clear one is sure. Bit i is bit i % 8 of byte i // 8.
     """
-    at = F.col("bucket").bitwiseAND(bits - 1)
-    words = buckets.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast((bucket & {bits - 1}) % 64 AS int))").alias("b"))
-    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).collect()  # bits / 64 rows at most
-    import numpy as np
-
+    low = F.col(column).bitwiseAND(bits - 1)
+    high = F.shiftrightunsigned(column, FILTER_SHIFT).bitwiseAND(bits - 1)
+    at = buckets.select(F.explode(F.array(low, high)).alias("i"))
+    words = at.select(F.shiftright("i", 6).alias("w"), F.expr("shiftleft(1L, cast(i % 64 AS int))").alias("b"))
     out = np.zeros(bits // 64, np.int64)
-    for r in rows:
+    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():  # bits / 64 rows at most
         out[r["w"]] = r["b"]
     return out.astype("<i8").tobytes()
 
 
-def passes(filter_: bytes, buckets):
+def passes(filter_: bytes, buckets: np.ndarray) -> np.ndarray:
     """Which of the buckets (numpy uint64) may be in the filter."""
-    import numpy as np
-
     bits = np.frombuffer(filter_, np.uint8)
-    at = buckets & np.uint64(len(bits) * 8 - 1)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    mask = np.uint64(len(bits) * 8 - 1)
+    test = lambda at: (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return test(buckets & mask) & test((buckets >> np.uint64(FILTER_SHIFT)) & mask)
 
 
 def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = PIVOT_ROUNDS) -> DataFrame:

@@ -12,7 +12,8 @@ The steps are those of prefix filtering (PPJoin+):
 
 Scale: the counts are arrays of a fixed number of cells, summed by slab; the n-gram buckets that only one set has are
 dropped by an aggregation with map-side combining; a filter of fixed size keeps the next pass from sending what no
-other set shares. Whole sets are written only for documents that share a prefix n-gram. A vertex id is a 64-bit hash
+other set shares. Whole sets are written only for documents that share a prefix n-gram, once for each different set,
+and meet only for pairs that the length, positional and suffix filters leave. A vertex id is a 64-bit hash
 of the set: two different sets meet with odds of n^2 / 2^65.
 
 Defined results: null and empty texts have empty sets and no links; a text of fewer words than n has its whole sequence
@@ -123,39 +124,51 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     shared = bucket_filter(shared_buckets(docs.mapInArrow(tokens, "bucket long, vertex long")))
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch], needed: bytes | None) -> Iterator[pa.RecordBatch]:
+        """A row a document with its shared prefix n-grams; with ``needed``, a row for each such set, whole."""
         classes = _classes(packed)
         for b in batches:
             row = 0
             for grams, first in sets(b.column("text"), n):
-                ids, size = signed(set_ids(grams, first)), np.diff(first)
+                ids, size = set_ids(grams, first), np.diff(first)
+                doc_ids, row = b.column("doc_id").slice(row, len(size)), row + len(size)
                 text, gram, place = prefixes(grams, first, classes, percent)
                 ok = passes(shared, gram)
+                if needed is not None:
+                    once = np.zeros(len(ids), bool)
+                    once[np.unique(ids, return_index=True)[1]] = True
+                    once &= passes(needed, ids) & (size > 0)
+                    ok &= once[text]
                 text, gram, place = text[ok], gram[ok], place[ok]
                 at = np.searchsorted(text, np.arange(len(size) + 1))
-                some = np.diff(at) > 0
-                lists = lambda flat, cut, kind: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat, kind))
-                whole = np.repeat(some, size)
-                cut = np.concatenate([[0], np.cumsum(np.where(some, size, 0))])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(row, len(size)), pa.array(ids), pa.array(size, pa.int64()), lists(signed(gram), at, pa.int64()), lists(place, at, pa.int32()), lists(signed(grams[whole]), cut, pa.int64())],
-                    ["doc_id", "vertex", "n_shingles", "tokens", "places", "grams"],
-                )
-                row += len(size)
-
-    schema = "doc_id long, vertex long, n_shingles long, tokens array<long>, places array<int>, grams array<long>"
-    base = checkpointed(docs.mapInArrow(kept, schema))
-    one = base.where(F.size("tokens") > 0).groupBy("vertex").agg(F.first(F.struct("n_shingles", "tokens", "places", "grams")).alias("s")).select("vertex", "s.*")
-    one = checkpointed(one)
-    members = one.select("vertex", F.explode("tokens").alias("bucket"))
+                out = [doc_ids, pa.array(signed(ids)), pa.array(size, pa.int64()), _lists(signed(gram), at, pa.int64()), _lists(place, at, pa.int32())]
+                if needed is not None:
+                    whole = np.repeat(once, size)
+                    of = np.repeat(np.arange(len(size)), size)[whole]
+                    parts = np.bincount(of * PARTS + (grams[whole] & np.uint64(PARTS - 1)).astype(np.int64), minlength=len(size) * PARTS)
+                    out += [_lists(parts, np.arange(len(size) + 1) * PARTS, pa.int32()), _lists(signed(grams[whole]), np.concatenate([[0], np.cumsum(np.where(once, size, 0))]), pa.int64())]
+                made = pa.RecordBatch.from_arrays(out, _NAMES[: len(out)])
+                yield made if needed is None else made.filter(pa.array(once))
+
+    schema = "doc_id long, vertex long, n_shingles long, tokens array<long>, places array<int>"
+    base = checkpointed(docs.mapInArrow(lambda batches: rows(batches, None), schema))
+    members = base.select("vertex", F.explode("tokens").alias("bucket")).distinct()
     members = checkpointed(members.join(shared_buckets(members), "bucket", "left_semi"))
+    needed = bucket_filter(members.select("vertex").distinct(), "vertex")
+    one = docs.mapInArrow(lambda batches: rows(batches, needed), f"{schema}, parts array<int>, grams array<long>")
+    one = one.join(members.select("vertex").distinct(), "vertex", "left_semi").dropDuplicates(["vertex"])
+    one = checkpointed(one.drop("doc_id"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda k: one.select(F.col("vertex").alias(k), F.struct("n_shingles", "tokens", "places", "grams").alias(f"s{k}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        x, y = F.col("sa.n_shingles"), F.col("sb.n_shingles")
-        both = both.where((100 * x >= percent * y) & (100 * y >= percent * x))  # length filter
-        return both.select("a", "b", *(F.col(f"s{k}.{c}").alias(f"{c}_{k}") for k in "ab" for c in ("tokens", "places", "grams"))).mapInArrow(_verifier(percent), "a long, b long")
+        def both(d: DataFrame, columns: list[str]) -> DataFrame:
+            for k in "ab":
+                d = d.join(one.select(F.col("vertex").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in columns)), k)
+            return d
+
+        x, y = F.col("n_shingles_a"), F.col("n_shingles_b")
+        near = both(pairs, ["n_shingles"]).where((100 * x >= percent * y) & (100 * y >= percent * x))  # length filter
+        near = both(near.select("a", "b"), _NAMES[2:6]).mapInArrow(_filtered(percent), "a long, b long")
+        return both(near, ["grams"]).mapInArrow(_verified(percent), "a long, b long")
 
     found = linked(members, verify)
     d = base.select("doc_id", "vertex", "n_shingles").join(found, "vertex", "left")
@@ -166,31 +179,43 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return d.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _verifier(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            cols = {c: batch.column(c) for c in batch.schema.names}
-            for i in range(batch.num_rows):
-                x, y = (cols[f"grams_{k}"][i].values.to_numpy() for k in "ab")
-                need = -(-percent * (len(x) + len(y)) // (100 + percent))
-                # positional filter: past the last shared prefix n-gram only the shorter rest can be shared
-                (tx, px), (ty, py) = ((cols[f"tokens_{k}"][i].values.to_numpy(), cols[f"places_{k}"][i].values.to_numpy()) for k in "ab")
-                both, ix, iy = np.intersect1d(tx, ty, assume_unique=True, return_indices=True)
-                if len(both):
-                    last = int(np.argmax(px[ix]))
-                    if len(both) + min(len(x) - int(px[ix[last]]), len(y) - int(py[iy[last]])) - 1 < need:
-                        continue
-                # suffix filter: parts of the sets by hash differ by at least the difference of their sizes
-                hx, hy = (np.bincount(v & (PARTS - 1), minlength=PARTS) for v in (x, y))
-                if (len(x) + len(y) - int(np.abs(hx - hy).sum())) // 2 < need:
-                    continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    return run
+_NAMES = ["doc_id", "vertex", "n_shingles", "tokens", "places", "parts", "grams"]
+
+
+def _lists(flat: np.ndarray, cut: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat, kind))
+
+
+def _kept(batch: pa.RecordBatch, test) -> pa.RecordBatch:
+    """a and b of the rows that pass a test of their list columns."""
+    lists = {c: batch.column(c) for c in batch.schema.names if c not in ("a", "b")}
+    keep = [i for i in range(batch.num_rows) if test({c: v[i].values.to_numpy() if pa.types.is_list(v.type) else v[i].as_py() for c, v in lists.items()})]
+    return batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+
+def _filtered(percent: int):
+    def test(r: dict) -> bool:
+        x, y = r["n_shingles_a"], r["n_shingles_b"]
+        need = -(-percent * (x + y) // (100 + percent))
+        # positional filter: past the last shared prefix n-gram only the shorter rest can be shared
+        both, ix, iy = np.intersect1d(r["tokens_a"], r["tokens_b"], assume_unique=True, return_indices=True)
+        if len(both):
+            px, py = r["places_a"][ix], r["places_b"][iy]
+            last = int(np.argmax(px))
+            if len(both) + min(x - int(px[last]), y - int(py[last])) - 1 < need:
+                return False
+        # suffix filter: the sets differ by at least the differences of their parts' sizes
+        return (x + y - int(np.abs(r["parts_a"] - r["parts_b"]).sum())) // 2 >= need
+
+    return lambda batches: (_kept(b, test) for b in batches)
+
+
+def _verified(percent: int):
+    def test(r: dict) -> bool:
+        common = len(np.intersect1d(r["grams_a"], r["grams_b"], assume_unique=True))
+        return 100 * common >= percent * (len(r["grams_a"]) + len(r["grams_b"]) - common)
+
+    return lambda batches: (_kept(b, test) for b in batches)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
