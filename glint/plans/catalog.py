@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from glint.plans import scan_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**scan_queries.QUERIES}
+ORACLES: dict[str, str] = {**scan_queries.ORACLES}
