@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glint.plans import scan_queries
+from glint.plans import estate_queries, scan_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**scan_queries.QUERIES}
-ORACLES: dict[str, str] = {**scan_queries.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**scan_queries.QUERIES, **estate_queries.QUERIES}
+ORACLES: dict[str, str] = {**scan_queries.ORACLES, **estate_queries.ORACLES}

@@ -15,8 +15,14 @@ ORACLES: dict[str, str] = {}
 FLAGSHIP = ["AWS Access Key", "GitHub Personal Access Token", "Stripe Publishable Key", GENERIC]
 
 
+def spread(d: DataFrame) -> DataFrame:
+    """Dealt anew where a small file gives fewer partitions than there are cores: detection is all CPU."""
+    cores = d.sparkSession.sparkContext.defaultParallelism
+    return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return d.select("doc_id", F.concat(F.lit("https://docs.example.org/"), F.col("doc_id").cast("string")).alias("source_url"), F.col("text").alias("body"))
 
 
