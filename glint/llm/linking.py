@@ -79,6 +79,8 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds:
     """
     links, known, done = None, None, None
     for turn in range(rounds + 1):
+        if turn == rounds and known is None:  # no bucket has two members
+            break
         rows = members if known is None else members.join(known, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
         if turn == rounds:  # whatever may still join two components
             rows = rows.join(_mixed(rows), "bucket")

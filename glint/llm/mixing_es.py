@@ -132,8 +132,8 @@ def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     copies = F.array_repeat(F.lit(None).cast("long"), whole.cast("int"))
     copies = F.when(part > 0, F.concat(copies, F.array(part))).otherwise(copies)
     d = d.withColumn("_part", F.explode(copies))
-    pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("_part").cast("string"), F.lit("}"))
-    text = F.when(F.col("_part").isNull(), F.col("text")).otherwise(F.regexp_extract(F.col("text"), pattern, 0))
+    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("_part").isNull(), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("_part").cast("int")), ""))
     d = d.withColumn("text", text)
     return d.withColumn("n_chars", F.length("text").cast("long")).select(*has)
 
