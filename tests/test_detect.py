@@ -76,7 +76,7 @@ def test_decoded_views(spark):
 
 
 def test_pair_rule_by_distance(spark):
-    secret, anchor = "aB3" * 13 + "x", "AK" + "IA" + "ABCDEFGH12345678"
+    secret, anchor = "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF3hI6kL9n", "AK" + "IA" + "ABCDEFGH12345678"
     rows = [("near", f"{anchor}" + " " * 200 + f"'{secret}'"), ("far", f"{anchor}" + " " * 300 + f"'{secret}'"), ("hex", f"{anchor} '{'a1' * 20}'")]
     found = detect.pair_values(spark.createDataFrame(rows, "source_url string, body string")).collect()
     assert [r.source_url for r in found] == ["near"]
