@@ -36,7 +36,7 @@ from glint.llm.textarrays import Seen, blocks, spans
 SAMPLE, TERMS = 3000, 500
 #: A term has at least so many different neighbours in toxic documents (or this share of their number), and so large a
 #: share of its neighbours is toxic (both classes weighed alike).
-LEAST_DOCS, LEAST_RATE, LEAST_SHARE = 4, 0.01, 0.95
+LEAST_DOCS, LEAST_RATE, LEAST_SHARE = 4, 0.03, 0.97
 #: Lengths of stems, and the different words that a stem begins at least.
 STEM_LENGTHS, STEM_WORDS = range(3, 9), 6
 #: Words to either side of a hit that are its context.
@@ -206,7 +206,7 @@ def _scorer(words: tuple[str, ...], stems: tuple[str, ...]) -> Scorer:
     return Scorer(words, stems)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.005) -> tuple[float, ...]:
     """Newton's method with a ridge on all weights but the constant."""
     z = np.concatenate([x, np.ones((len(x), 1))], 1)
     w, pen = np.zeros(z.shape[1]), np.diag([ridge] * x.shape[1] + [1e-6])
