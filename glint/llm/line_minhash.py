@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from glint.llm.linking import bucket_filter, linked, passes, shared_buckets
 from glint.llm.shared import checkpointed
-from glint.llm.textarrays import blocks, hashes, mix, signed
+from glint.llm.textarrays import blocks, hashes, mix, signed, starts_of_codepoints
 
 LEAST_CHARS = 40
 SHINGLE, BANDS, ROWS = 8, 12, 4
@@ -37,6 +37,8 @@ PERCENT = 80
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _BINS = BANDS * ROWS
+#: Bits of a bin's least hash, the highest; a block of lines has fewer than 2^(64 - SIGN_BITS) bins.
+SIGN_BITS = 32
 #: For each bin the order in which others stand in for it.
 _INSTEAD = np.stack([np.concatenate([[b], _rng.permutation([x for x in range(_BINS) if x != b])]) for b in range(_BINS)])
 
@@ -61,42 +63,36 @@ class Lines:
         self.ids = hashes(self.buf, self.off[:-1], self.off[1:], lower=False)
 
 
-def char_shingles(buf: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of k characters running, sorted by text, and the text of each. Characters are code points."""
-    lead = np.flatnonzero((buf & 0xC0) != 0x80)
-    text_of = np.searchsorted(off, lead, "right") - 1
-    ends = np.append(lead[1:], len(buf))
-    code = buf[lead].astype(np.uint64)
-    for j in range(1, 4):
-        at = lead + j
-        more = at < ends
-        code = np.where(more, code << np.uint64(8) | buf[np.minimum(at, max(len(buf) - 1, 0))], code)
-    n = len(code) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    for j in range(k):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + code[j : j + n] * np.uint64(0xC2B2AE3D27D4EB4F)
-    ok = text_of[:n] == text_of[k - 1 :]
-    h, text = mix(h[ok]), text_of[:n][ok]
-    key = np.sort((text.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-    return key & np.uint64((1 << 44) - 1), (key >> np.uint64(44)).astype(np.int64)
+def char_shingles(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of SHINGLE characters running, in order, and the line of each. Characters are code points."""
+    before = np.concatenate([[0], np.cumsum(starts_of_codepoints(buf))])
+    h = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    step, width = np.uint64(0x9E3779B97F4A7C15), 1
+    while width < SHINGLE:  # runs of twice the length from runs that follow each other
+        h = h[:-width] * step + h[width:] if len(h) > width else h[:0]
+        step, width = np.uint64(int(step) ** 2 % 2**64), width * 2
+    made = np.maximum(np.diff(before[off]) - SHINGLE + 1, 0)
+    line = np.repeat(np.arange(len(made)), made)
+    at = np.arange(len(line)) + np.repeat(before[off[:-1]] - (np.cumsum(made) - made), made)
+    return mix(h[at]), line
 
 
 def bands(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """A row of BANDS bucket hashes for each line. Every line has a shingle at least."""
     n = len(off) - 1
     h, line = char_shingles(buf, off)
-    h = mix(h)
-    sign = np.full(n * _BINS, np.uint64(2**64 - 1))
-    cell = line * _BINS + ((h >> np.uint64(40)) % np.uint64(_BINS)).astype(np.int64)
-    order = np.lexsort((h, cell))
-    cell, h = cell[order], h[order]
+    bits = max(n * _BINS, 1).bit_length()
+    low = np.uint64(64 - bits)
+    cell = line * _BINS + (((h & np.uint64(0xFFFF)) * np.uint64(_BINS)) >> np.uint64(16)).astype(np.int64)
+    key = np.sort((cell.astype(np.uint64) << low) | (h >> np.uint64(bits)))  # by bin, then by hash
+    cell = (key >> low).astype(np.int64)
     first = np.concatenate([[True], cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, bool)
-    sign[cell[first]] = h[first]
-    sign = sign.reshape(n, _BINS)
-    full = sign != np.uint64(2**64 - 1)
+    sign, full = np.zeros(n * _BINS, np.uint64), np.zeros(n * _BINS, bool)
+    sign[cell[first]] = key[first] & ((np.uint64(1) << low) - np.uint64(1))
+    full[cell[first]] = True
+    # how many bits of the hash are kept depends on the block: cut all to what the largest block leaves
+    sign = (sign >> np.uint64(max(0, 64 - bits - SIGN_BITS))).reshape(n, _BINS)
+    full = full.reshape(n, _BINS)
     for b in range(_BINS):
         empty = np.flatnonzero(~full[:, b])
         if len(empty):
