@@ -12,8 +12,8 @@ The steps are those of prefix filtering (PPJoin+):
 
 Scale: the counts are arrays of a fixed number of cells, summed by slab; the n-gram buckets that only one set has are
 dropped by an aggregation with map-side combining; a filter of fixed size keeps the next pass from sending what no
-other set shares. Whole sets are written only for documents that share a prefix n-gram, once for each different set,
-and meet only for pairs that the length, positional and suffix filters leave. A vertex id is a 64-bit hash
+other set shares. Whole sets are made again, once for each different set, and only for pairs that the length,
+positional and suffix filters leave. A vertex id is a 64-bit hash
 of the set: two different sets meet with odds of n^2 / 2^65.
 
 Defined results: null and empty texts have empty sets and no links; a text of fewer words than n has its whole sequence
@@ -124,8 +124,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     shared = bucket_filter(shared_buckets(docs.mapInArrow(tokens, "bucket long, vertex long")))
 
-    def rows(batches: Iterator[pa.RecordBatch], needed: bytes | None) -> Iterator[pa.RecordBatch]:
-        """A row a document with its shared prefix n-grams; with ``needed``, a row for each such set, whole."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a document: its set's id and size, its shared prefix n-grams, and the sizes of the set's parts if it has such."""
         classes = _classes(packed)
         for b in batches:
             row = 0
@@ -134,41 +134,49 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
                 doc_ids, row = b.column("doc_id").slice(row, len(size)), row + len(size)
                 text, gram, place = prefixes(grams, first, classes, percent)
                 ok = passes(shared, gram)
-                if needed is not None:
-                    once = np.zeros(len(ids), bool)
-                    once[np.unique(ids, return_index=True)[1]] = True
-                    once &= passes(needed, ids) & (size > 0)
-                    ok &= once[text]
                 text, gram, place = text[ok], gram[ok], place[ok]
                 at = np.searchsorted(text, np.arange(len(size) + 1))
-                out = [doc_ids, pa.array(signed(ids)), pa.array(size, pa.int64()), _lists(signed(gram), at, pa.int64()), _lists(place, at, pa.int32())]
-                if needed is not None:
-                    whole = np.repeat(once, size)
-                    of = np.repeat(np.arange(len(size)), size)[whole]
-                    parts = np.bincount(of * PARTS + (grams[whole] & np.uint64(PARTS - 1)).astype(np.int64), minlength=len(size) * PARTS)
-                    out += [_lists(parts, np.arange(len(size) + 1) * PARTS, pa.int32()), _lists(signed(grams[whole]), np.concatenate([[0], np.cumsum(np.where(once, size, 0))]), pa.int64())]
-                made = pa.RecordBatch.from_arrays(out, _NAMES[: len(out)])
-                yield made if needed is None else made.filter(pa.array(once))
-
-    schema = "doc_id long, vertex long, n_shingles long, tokens array<long>, places array<int>"
-    base = checkpointed(docs.mapInArrow(lambda batches: rows(batches, None), schema))
-    members = base.select("vertex", F.explode("tokens").alias("bucket")).distinct()
+                some = np.diff(at) > 0
+                of = np.repeat(np.arange(len(size)), size)
+                parts = np.bincount(of * PARTS + (grams & np.uint64(PARTS - 1)).astype(np.int64), minlength=len(size) * PARTS).reshape(-1, PARTS)[some]
+                cut = np.concatenate([[0], np.cumsum(some * PARTS)])
+                out = [doc_ids, pa.array(signed(ids)), pa.array(size, pa.int64()), _lists(signed(gram), at, pa.int64()), _lists(place, at, pa.int32()), _lists(parts.ravel(), cut, pa.int32())]
+                yield pa.RecordBatch.from_arrays(out, _NAMES)
+
+    base = checkpointed(docs.mapInArrow(rows, "doc_id long, vertex long, n_shingles long, tokens array<long>, places array<int>, parts array<int>"))
+    one = base.where(F.size("tokens") > 0).drop("doc_id").dropDuplicates(["vertex"])
+    members = checkpointed(one.select("vertex", F.explode("tokens").alias("bucket")))
     members = checkpointed(members.join(shared_buckets(members), "bucket", "left_semi"))
-    needed = bucket_filter(members.select("vertex").distinct(), "vertex")
-    one = docs.mapInArrow(lambda batches: rows(batches, needed), f"{schema}, parts array<int>, grams array<long>")
-    one = one.join(members.select("vertex").distinct(), "vertex", "left_semi").dropDuplicates(["vertex"])
-    one = checkpointed(one.drop("doc_id"))
+    one = checkpointed(one.join(members.select("vertex").distinct(), "vertex", "left_semi"))
+
+    def whole(needed: bytes):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            met: set[int] = set()
+            for b in batches:
+                for grams, first in sets(b.column("text"), n):
+                    ids = set_ids(grams, first)
+                    take = [i for i in np.flatnonzero(passes(needed, ids)) if ids[i] not in met and first[i + 1] > first[i]]
+                    take = list({int(ids[i]): i for i in take}.values())
+                    met.update(int(ids[i]) for i in take)
+                    if take:
+                        flat = np.concatenate([grams[first[i] : first[i + 1]] for i in take])
+                        cut = np.concatenate([[0], np.cumsum([first[i + 1] - first[i] for i in take])])
+                        yield pa.RecordBatch.from_arrays([pa.array(signed(ids[take])), _lists(signed(flat), cut, pa.int64())], ["vertex", "grams"])
+
+        return run
 
     def verify(pairs: DataFrame) -> DataFrame:
-        def both(d: DataFrame, columns: list[str]) -> DataFrame:
+        def both(d: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
             for k in "ab":
-                d = d.join(one.select(F.col("vertex").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in columns)), k)
+                d = d.join(of.select(F.col("vertex").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in columns)), k)
             return d
 
         x, y = F.col("n_shingles_a"), F.col("n_shingles_b")
-        near = both(pairs, ["n_shingles"]).where((100 * x >= percent * y) & (100 * y >= percent * x))  # length filter
-        near = both(near.select("a", "b"), _NAMES[2:6]).mapInArrow(_filtered(percent), "a long, b long")
-        return both(near, ["grams"]).mapInArrow(_verified(percent), "a long, b long")
+        near = both(pairs, one, ["n_shingles"]).where((100 * x >= percent * y) & (100 * y >= percent * x))  # length filter
+        near = checkpointed(both(near.select("a", "b"), one, _NAMES[2:]).mapInArrow(_filtered(percent), "a long, b long"))
+        needed = near.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
+        made = docs.mapInArrow(whole(bucket_filter(needed, "vertex")), "vertex long, grams array<long>").dropDuplicates(["vertex"])
+        return both(near, checkpointed(made), ["grams"]).mapInArrow(_verified(percent), "a long, b long")
 
     found = linked(members, verify)
     d = base.select("doc_id", "vertex", "n_shingles").join(found, "vertex", "left")
@@ -179,7 +187,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return d.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-_NAMES = ["doc_id", "vertex", "n_shingles", "tokens", "places", "parts", "grams"]
+_NAMES = ["doc_id", "vertex", "n_shingles", "tokens", "places", "parts"]
 
 
 def _lists(flat: np.ndarray, cut: np.ndarray, kind: pa.DataType) -> pa.ListArray:
