@@ -11,8 +11,8 @@ from glint.functions.registry import BY_NAME, DEFAULT_CWE, DEFAULT_SEVERITY, EXA
 UNICODE = "(?Ud)"
 
 
-def rx(pattern: str) -> Column:
-    return F.lit(UNICODE + pattern)
+def rx(pattern: str | Column) -> Column:
+    return F.lit(UNICODE + pattern) if isinstance(pattern, str) else F.concat(F.lit(UNICODE), pattern)
 
 
 def entropy(value: Column) -> Column:
@@ -90,14 +90,14 @@ def watch_rank(severity: Column) -> Column:
     return out
 
 
-def spans(text: Column, pattern: str, group: int = 0) -> Column:
+def spans(text: Column, pattern: str | Column, group: int = 0) -> Column:
     """array<struct<start,end,value>> of all matches, offsets from 0. The pattern must not match emptiness.
 
     ``group`` 1 is found inside its match, at the first place where its text stands.
     """
     whole = F.regexp_extract_all(text, rx(pattern), F.lit(0))
     got = F.regexp_extract_all(text, rx(pattern), F.lit(group)) if group else whole
-    gaps = F.split(text, UNICODE + pattern, -1)
+    gaps = F.split(text, rx(pattern), -1)
     zipped = F.arrays_zip(whole.alias("m"), got.alias("g"), F.slice(gaps, F.lit(1), F.size(whole)).alias("b"))
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
 

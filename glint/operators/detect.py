@@ -52,12 +52,15 @@ def passes_gates(kind: Column, value: Column, entropy: Column) -> Column:
 
 
 def with_context(found: DataFrame, text: str = "body", prefix: str = "") -> DataFrame:
-    """Adds context_snippet: what stands around the match of that rank (ordinal % 1000) of its detector."""
-    out = F.lit(None).cast("string")
-    for d in DETECTORS:
-        at = F.get(C.spans(F.col(text), d.pattern), F.col("ordinal") % 1000)
-        out = F.when(F.col("kind") == d.name, C.context(F.col(text), at["start"], at["end"])).otherwise(out)
-    return found.withColumn("context_snippet", F.concat(F.lit(prefix), F.coalesce(out, F.lit(""))))
+    """Adds context_snippet: what stands around the match of that rank (ordinal % 1000) of its detector.
+
+    The pattern is looked up by row here: only rows with a match get this far, and they are few beside the texts.
+    """
+    patterns = F.create_map(*[F.lit(x) for d in DETECTORS for x in (d.name, d.pattern)])
+    at = F.get(C.spans(F.col(text), F.element_at(patterns, F.col("kind"))), F.col("ordinal") % 1000)
+    d = found.withColumn("_at", at)
+    snippet = F.coalesce(C.context(F.col(text), F.col("_at.start"), F.col("_at.end")), F.lit(""))
+    return d.withColumn("context_snippet", F.concat(F.lit(prefix), snippet)).drop("_at")
 
 
 def base64_texts(texts: DataFrame, text: str = "body") -> DataFrame:

@@ -13,10 +13,11 @@ ROWS_PER_BUCKET = 250
 
 
 def masked(found: DataFrame, value: str = "value", snippet: str = "context_snippet") -> DataFrame:
-    """No column of the result holds a raw value: it is masked itself and redacted where it stands in its context."""
+    """No column of the result holds a raw value: it is masked itself, and all values of its source are redacted in its context."""
     d = found
-    if snippet in d.columns:
-        d = d.withColumn(snippet, C.redact_snippet(F.col(snippet), F.col(value)))
+    if snippet in d.columns:  # a source's findings are bounded by the cap on raw findings
+        near = F.collect_set(value).over(Window.partitionBy("source_url"))
+        d = d.withColumn("_near", near).withColumn(snippet, F.aggregate("_near", F.col(snippet), lambda acc, v: C.redact_snippet(acc, v))).drop("_near")
     return d.withColumn(value, C.mask(F.col(value)))
 
 
