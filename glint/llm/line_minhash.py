@@ -12,8 +12,8 @@ Scale: bands that only one line has are dropped by an aggregation that combines
 size keeps the second pass from sending other lines' bands or texts. The lines to drop come back as numbers by
 document; texts are shuffled once, to meet them.
 
-Defined results: lines end at \\n. A line with fewer than LEAST_CHARS characters (runs of white space as one, ends
-stripped) is never dropped. A null text stays null, and rows with a null doc_id stay as they are; rows with equal doc_id
+Defined results: lines end at \\n and are compared with runs of white space as one and ends stripped; a blank line is
+never dropped. A line with fewer than SHINGLE characters is its own only shingle: equal lines alone are like it. A null text stays null, and rows with a null doc_id stay as they are; rows with equal doc_id
 are told apart by their texts, and rows equal in both are one document. Dropping all lines leaves an empty text. The
 order of lines stays. Extra columns are kept by ``dedup``.
 """
@@ -31,7 +31,6 @@ from glint.llm.linking import bucket_filter, linked, passes, shared_buckets
 from glint.llm.shared import checkpointed
 from glint.llm.textarrays import blocks, hashes, mix, signed, starts_of_codepoints
 
-LEAST_CHARS = 40
 SHINGLE, BANDS, ROWS = 8, 12, 4
 PERCENT = 80
 
@@ -44,7 +43,7 @@ _INSTEAD = np.stack([np.concatenate([[b], _rng.permutation([x for x in range(_BI
 
 
 class Lines:
-    """The lines of a block of texts that are long enough: normalised bytes, document (row) and number."""
+    """The lines of a block of texts that aren't blank: normalised bytes, document (row) and number."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray):
         texts = buf.tobytes()
@@ -53,7 +52,7 @@ class Lines:
             lines = texts[off[i] : off[i + 1]].split(b"\n")
             self.count.append(len(lines))
             for j, line in enumerate(lines):
-                if len(line) >= LEAST_CHARS and len(line := b" ".join(line.split())) >= LEAST_CHARS and len(line.decode()) >= LEAST_CHARS:
+                if line := b" ".join(line.split()):
                     parts.append(line)
                     self.row.append(i)
                     self.number.append(j)
@@ -78,7 +77,7 @@ def char_shingles(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def bands(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A row of BANDS bucket hashes for each line. Every line has a shingle at least."""
+    """A row of BANDS bucket hashes for each line. Every line has SHINGLE characters at least."""
     n = len(off) - 1
     h, line = char_shingles(buf, off)
     bits = max(n * _BINS, 1).bit_length()
@@ -105,12 +104,16 @@ def bands(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _distinct(column: pa.Array) -> Iterator[tuple[Lines, np.ndarray, np.ndarray]]:
-    """For each block its lines, which of them are the first of their kind in it, and the bands of those."""
+    """For each block its lines, which of them are the first of their kind in it and have shingles, and the bands of those."""
     for _, _, buf, off in blocks(column):
         lines = Lines(buf, off)
         if not lines.lines:
             continue
         _, at = np.unique(lines.ids, return_index=True)
+        chars = np.diff(np.concatenate([[0], np.cumsum(starts_of_codepoints(lines.buf))])[lines.off])
+        at = at[chars[at] >= SHINGLE]  # shorter ones can only be equal, and equal lines are one vertex
+        if not len(at):
+            continue
         size = np.diff(lines.off)[at]
         cut = np.concatenate([[0], np.cumsum(size)])
         flat = np.frombuffer(b"".join(lines.lines[i] for i in at), np.uint8)
