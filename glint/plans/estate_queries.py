@@ -256,10 +256,9 @@ def q_ct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_archive_js_dedupe", "SELECT DISTINCT 'd.example' AS domain, 'https://d.example/j' || (c_custkey % 30)::VARCHAR || '.js?v=' || min(c_custkey) OVER (PARTITION BY c_custkey % 30)::VARCHAR AS url FROM customer WHERE c_custkey < 100")
 def q_archive_js_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    d = _t(spark, sf_dir, "customer").where("c_custkey < 100").select(F.lit("d.example").alias("domain"), F.lit("cdx").alias("kind"), F.concat(F.lit('[["original"],["https://d.example/j'), k % 30, F.lit(".js?v="), k, F.lit('"]]')).alias("json"))
+    d = _t(spark, sf_dir, "customer").select(F.lit("d.example").alias("domain"), F.lit("cdx").alias("kind"), F.concat(F.lit('[["original"],["https://d.example/j'), k % 30, F.lit(".js?v="), k, F.lit('"]]')).alias("json"))
     first = surface.archived_urls(d)
-    n = F.regexp_extract("url", r"v=(\d+)", 1).cast("int")
-    return first.groupBy("domain", F.regexp_replace("url", r"\?.*", "").alias("p")).agg(F.min_by("url", n).alias("url")).select("domain", "url")
+    return surface.archived_scripts(first.withColumn("n", F.regexp_extract("url", r"v=(\d+)", 1).cast("long")), "n")
 
 
 _MAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
