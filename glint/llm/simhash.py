@@ -1,17 +1,21 @@
-"""Document fingerprints by SimHash, and all pairs of them within a Hamming radius by permuted block tables.
+"""Document fingerprints by SimHash, and all pairs of them within a Hamming radius.
 
 A text's terms are its word 5-grams (fewer words: all of them as one). Each term votes, with its count as weight, for
 or against each of BITS bits by its own hash; the fingerprint has the bits with a majority. Texts that share a share of
 their terms differ in about acos(share) / pi of the bits, so the cosine of that angle estimates the likeness.
 
-``near_pairs``: cut into ``blocks`` parts, two fingerprints within the radius agree in blocks - radius parts at least.
+``near_pairs``, up to RADIUS: cut into ``blocks`` parts, two fingerprints within the radius agree in blocks - radius parts at least.
 For each choice of so many parts a table keyed by them (the fingerprint permuted to put them first) brings the
-candidates together, and a candidate's distance is counted in the JVM. Every fingerprint is one vertex, however many
-documents have it.
+candidates together, and a candidate's distance is counted in the JVM. Beyond RADIUS the tables would be too many, and
+all fingerprints are compared with all that are asked for: exact as well. Every fingerprint is one vertex, however many
+documents have it; ``near_counts`` and ``near_documents`` go back to the documents, copies included.
+
+NEAR: a word 5-gram Jaccard of 0.8 is a cosine of about 0.89, so 19.4 differing bits of 128 on average, give or take 4.
 
 Scale: fingerprints are made in a narrow ``mapInArrow``. What needs the next document in order of doc_id is made where
 rows are dealt by ranges of doc_id: one shuffle of the texts, and the edges of the ranges (a text each) meet in a small
-join. The rows between are written to the checkpoint folder, which is read twice.
+join. The rows between are written to the checkpoint folder, which is read twice. The comparison takes time in
+proportion to (fingerprints asked for) x (fingerprints), and each worker has 16 bytes for each one asked for.
 
 Defined results: a null text is empty; a text without words has the fingerprint 0; equal texts have equal fingerprints;
 rows with equal doc_id follow each other in the order of their texts; a lone document is its own next; an empty table
@@ -33,8 +37,10 @@ from pyspark.taskcontext import TaskContext
 from glint.llm.shared import checkpointed
 from glint.llm.textarrays import _STEP, blocks, hashes, mix, shingles, spans
 
-#: Words of a term; bits of a fingerprint (a multiple of 64); bits that near fingerprints may differ in.
+#: Words of a term; bits of a fingerprint (a multiple of 64); the widest radius by tables.
 TERM, BITS, RADIUS = 5, 128, 3
+#: Bits that fingerprints of near documents may differ in.
+NEAR = 24
 _LANES = [np.uint64(x) for x in np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, BITS // 64)]
 
 
@@ -151,6 +157,9 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, queries: DataFrame | Non
     With ``queries`` (a column fingerprint): those pairs of a query (a) and another of ``prints`` (b).
     """
     prints = prints.select("fingerprint").where("fingerprint is not null").distinct()
+    if radius > RADIUS:
+        asked = _asked(prints if queries is None else queries)
+        return prints.mapInArrow(_scan(asked, radius), "a string, b string, distance int").where("a < b" if queries is None else "a != b")
     binary = F.concat(*[F.lpad(F.conv(F.substring("fingerprint", 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(BITS // 32)])
     chosen = tables(prints.count(), radius)
 
@@ -168,6 +177,75 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, queries: DataFrame | Non
     return pairs.select("a", "b", distance.alias("distance")).where(F.col("distance") <= radius).distinct()
 
 
+def _lanes(prints: list[str]) -> np.ndarray:
+    """(fingerprints, BITS / 64) words."""
+    return np.frombuffer(bytes.fromhex("".join(prints)), np.uint64).reshape(-1, BITS // 64)
+
+
+def _asked(prints: DataFrame) -> list[str]:
+    return sorted(r.fingerprint for r in prints.select("fingerprint").where("fingerprint is not null").distinct().toLocalIterator())
+
+
+def within(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions in left and in right, and distances, of all pairs within the radius, a block of pairs at a time."""
+    for a in range(0, len(left), 256):
+        for b in range(0, len(right), 2048):
+            x, y = left[a : a + 256], right[b : b + 2048]
+            apart = np.bitwise_count(x[:, 0, None] ^ y[None, :, 0])
+            i, j = np.divmod(np.flatnonzero(apart <= radius), len(y))  # the first word alone leaves few
+            apart = apart[i, j].astype(np.int32)
+            for w in range(1, BITS // 64):
+                apart += np.bitwise_count(x[i, w] ^ y[j, w])
+            ok = apart <= radius
+            yield i[ok] + a, j[ok] + b, apart[ok]
+
+
+def _scan(asked: list[str], radius: int):
+    packed = bytes.fromhex("".join(asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = np.frombuffer(packed, np.uint64).reshape(-1, BITS // 64)
+        for b in batches:
+            own = b.column("fingerprint")
+            for i, j, apart in within(left, _lanes(own.to_pylist()), radius):
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array([packed[16 * k : 16 * k + 16].hex() for k in i.tolist()], pa.string()), own.take(pa.array(j)), pa.array(apart, pa.int32())], ["a", "b", "distance"])
+
+    return run
+
+
+def near_counts(docs: DataFrame, asked: DataFrame, radius: int = NEAR) -> DataFrame:
+    """a (a fingerprint of ``asked``), n: how many rows of ``docs`` lie within the radius, its own and copies too."""
+    packed = bytes.fromhex("".join(_asked(asked)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = np.frombuffer(packed, np.uint64).reshape(-1, BITS // 64)
+        n = np.zeros(len(left), np.int64)
+        for b in batches:
+            rows = b.column("n").to_numpy()
+            for i, j, _ in within(left, _lanes(b.column("fingerprint").to_pylist()), radius):
+                np.add.at(n, i, rows[j])
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([packed[16 * k : 16 * k + 16].hex() for k in some.tolist()], pa.string()), pa.array(n[some])], ["a", "n"])
+
+    classes = docs.where("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("n"))
+    return classes.mapInArrow(run, "a string, n long").groupBy("a").agg(F.sum("n").alias("n"))
+
+
+def near_documents(docs: DataFrame, asked: DataFrame | None = None, radius: int = NEAR) -> DataFrame:
+    """doc_id, near_id, distance: all pairs of documents within the radius, copies too; each once (doc_id < near_id).
+
+    ``docs`` and ``asked``: doc_id, fingerprint. With ``asked``: those pairs of one asked for and another. Rows with
+    equal doc_id are one document, as near as its nearest text; rows without doc_id have no pairs.
+    """
+    rows = lambda d: d.select("doc_id", "fingerprint").where("doc_id is not null").distinct()
+    left = rows(docs if asked is None else asked)
+    pairs = near_pairs(docs, radius, left)
+    pairs = pairs.unionByName(left.select(F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b")).distinct().withColumn("distance", F.lit(0)))
+    out = left.withColumnRenamed("fingerprint", "a").join(pairs, "a").join(rows(docs).select(F.col("fingerprint").alias("b"), F.col("doc_id").alias("near_id")), "b")
+    return out.where("doc_id < near_id" if asked is None else "doc_id != near_id").groupBy("doc_id", "near_id").agg(F.min("distance").alias("distance"))
+
+
 def _runs(positions: list[int]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for p in positions:
@@ -181,11 +259,11 @@ def _runs(positions: list[int]) -> list[tuple[int, int]]:
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, compared with their edited texts' and their successors'.
 
-    ``n_near``, for the documents whose id is divisible by 20: how many other fingerprints lie within RADIUS bits.
+    ``n_near``, for the documents whose id is divisible by 20: how many other rows' fingerprints lie within NEAR bits,
+    copies included.
     """
     made = compare_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     made = checkpointed(made)
-    asked = made.where("doc_id % 20 = 0")
-    near = near_pairs(made, queries=asked).groupBy(F.col("a").alias("_a")).count()
+    near = near_counts(made, made.where("doc_id % 20 = 0")).select(F.col("a").alias("_a"), "n")
     d = made.join(near, (F.col("fingerprint") == F.col("_a")) & (F.col("doc_id") % 20 == 0), "left")
-    return d.select(*_NAMES, F.when(F.col("doc_id") % 20 == 0, F.coalesce("count", F.lit(0))).alias("n_near"))
+    return d.select(*_NAMES, F.when(F.col("doc_id") % 20 == 0, F.col("n") - 1).alias("n_near"))
