@@ -1,21 +1,26 @@
 """Line dedup: near-equal lines of all documents by MinHash, one line kept of each component.
 
-A line's signature comes from its distinct character shingles by one permutation: each shingle's hash falls into one
-of BANDS x ROWS bins, the bin keeps its least hash, and an empty bin takes the value of another bin that the line has,
+A line's signature comes from its character shingles by one permutation: each shingle's hash falls into one of
+BANDS x ROWS bins, the bin keeps its least hash, and an empty bin takes the value of another bin that the line has,
 chosen by a fixed order of bins. Bands of ROWS bins are the buckets of ``linking``; candidate pairs are verified by the
 exact Jaccard similarity of their shingle sets, links become components by distributed star contraction, and of each
 component the first line (least doc_id, then line number) stays. Equal lines are one vertex from the start.
 
-At a similarity of 0.8 a pair shares a band with odds of 1 - (1 - 0.8^4)^12 > 0.998.
+At a similarity of 0.8 a pair shares a band with odds of 1 - (1 - 0.8^3)^9 > 0.998; ``linking`` rules most other
+candidates out by their sketches before a line is moved.
 
-Scale: bands that only one line has are dropped by an aggregation that combines before it shuffles; a filter of fixed
-size keeps the second pass from sending other lines' bands or texts. The lines to drop come back as numbers by
-document; texts are shuffled once, to meet them.
+Scale: the texts are read three times, the signatures made once and written to the checkpoint folder (without the
+lines). Bands that only one line has are dropped by an aggregation that combines before it shuffles and an exact
+semi-join. Lines are fetched only for pairs that are left. The lines to drop come back as numbers by document; texts
+are shuffled once, to meet them. A vertex is a 64-bit hash of its line: n different ones collide with odds of
+n^2 / 2^65, and shingles are compared by 52 bits of their hash within a pair.
 
 Defined results: lines end at \\n and are compared with runs of white space as one and ends stripped; a blank line is
-never dropped. A line with fewer than SHINGLE characters is its own only shingle: equal lines alone are like it. A null text stays null, and rows with a null doc_id stay as they are; rows with equal doc_id
-are told apart by their texts, and rows equal in both are one document. Dropping all lines leaves an empty text. The
-order of lines stays. Extra columns are kept by ``dedup``.
+never dropped. A line with fewer than SHINGLE characters is its own only shingle: equal lines alone are like it. Lines
+and texts of any length are read whole. A null text stays null, and rows with a null doc_id stay as they are; rows with
+equal doc_id are told apart by their texts, and rows equal in both are one document. Dropping all lines leaves an empty
+text. The order of lines stays. An empty table gives an empty result. All columns are kept, whatever their names; only
+the two counts that ``dedup`` adds may not clash, and their names are parameters.
 """
 
 from __future__ import annotations
@@ -24,180 +29,199 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glint.llm.linking import bucket_filter, linked, passes, shared_buckets
-from glint.llm.shared import checkpointed
-from glint.llm.textarrays import blocks, hashes, mix, signed, starts_of_codepoints
+from glint.llm.linking import SKETCH, linked, shared_buckets, sketch_distance
+from glint.llm.shared import Scratch, fresh
+from glint.llm.textarrays import SMALL, blocks, mix, signed, starts_of_codepoints
 
-SHINGLE, BANDS, ROWS = 8, 12, 4
+SHINGLE, BANDS, ROWS = 8, 9, 3
 PERCENT = 80
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _BINS = BANDS * ROWS
-#: Bits of a bin's least hash, the highest; a block of lines has fewer than 2^(64 - SIGN_BITS) bins.
-SIGN_BITS = 32
 #: For each bin the order in which others stand in for it.
 _INSTEAD = np.stack([np.concatenate([[b], _rng.permutation([x for x in range(_BINS) if x != b])]) for b in range(_BINS)])
+_EMPTY = np.uint32(0xFFFFFFFF)
 
 
 class Lines:
-    """The lines of a block of texts that aren't blank: normalised bytes, document (row) and number."""
+    """The lines of a block of texts that aren't blank: normalised bytes, document (row), number and hash."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray):
         texts = buf.tobytes()
-        parts, self.row, self.number, self.count = [], [], [], []
+        odd = any(c in texts for c in (b"\t", b"\x0b", b"\x0c", b"\r"))
+        self.lines, self.row, self.number = [], [], []
         for i in range(len(off) - 1):
-            lines = texts[off[i] : off[i + 1]].split(b"\n")
-            self.count.append(len(lines))
-            for j, line in enumerate(lines):
-                if line := b" ".join(line.split()):
-                    parts.append(line)
+            for j, line in enumerate(texts[off[i] : off[i + 1]].split(b"\n")):
+                line = b" ".join(line.split()) if odd or b"  " in line else line.strip(b" ")
+                if line:
+                    self.lines.append(line)
                     self.row.append(i)
                     self.number.append(j)
-        self.lines = parts
-        self.off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        self.buf = np.frombuffer(b"".join(parts), np.uint8)
-        self.ids = hashes(self.buf, self.off[:-1], self.off[1:], lower=False)
-
-
-def char_shingles(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of SHINGLE characters running, in order, and the line of each. Characters are code points."""
-    before = np.concatenate([[0], np.cumsum(starts_of_codepoints(buf))])
-    h = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        self.ids = np.fromiter(map(xxhash.xxh3_64_intdigest, self.lines), np.uint64, len(self.lines))
+
+
+def char_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of SHINGLE characters running, line by line, and how many each line has. Characters are code points."""
+    joined = b"".join(lines)
+    ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
+    if joined.isascii():
+        h = np.frombuffer(joined, np.uint8).astype(np.uint64)
+    else:
+        before = np.concatenate([[0], np.cumsum(starts_of_codepoints(np.frombuffer(joined, np.uint8)))])
+        ends = before[ends]
+        h = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.diff(ends, prepend=0)
+    h += np.uint64(1)
     step, width = np.uint64(0x9E3779B97F4A7C15), 1
     while width < SHINGLE:  # runs of twice the length from runs that follow each other
         h = h[:-width] * step + h[width:] if len(h) > width else h[:0]
         step, width = np.uint64(int(step) ** 2 % 2**64), width * 2
-    made = np.maximum(np.diff(before[off]) - SHINGLE + 1, 0)
-    line = np.repeat(np.arange(len(made)), made)
-    at = np.arange(len(line)) + np.repeat(before[off[:-1]] - (np.cumsum(made) - made), made)
-    return mix(h[at]), line
-
-
-def bands(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A row of BANDS bucket hashes for each line. Every line has SHINGLE characters at least."""
-    n = len(off) - 1
-    h, line = char_shingles(buf, off)
-    bits = max(n * _BINS, 1).bit_length()
-    low = np.uint64(64 - bits)
+    inside = np.ones(int(size.sum()), bool)  # a run that begins near a line's end would go on into the next
+    for back in range(1, SHINGLE):
+        inside[ends[size >= back] - back] = False
+    return mix(h[inside[: len(h)]]), np.maximum(size - SHINGLE + 1, 0)
+
+
+def signatures(h: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of BANDS bucket hashes and one of SKETCH words for each line, from its shingles; every line has some."""
+    n = len(made)
+    line = np.repeat(np.arange(n), made)
     cell = line * _BINS + (((h & np.uint64(0xFFFF)) * np.uint64(_BINS)) >> np.uint64(16)).astype(np.int64)
-    key = np.sort((cell.astype(np.uint64) << low) | (h >> np.uint64(bits)))  # by bin, then by hash
-    cell = (key >> low).astype(np.int64)
-    first = np.concatenate([[True], cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, bool)
-    sign, full = np.zeros(n * _BINS, np.uint64), np.zeros(n * _BINS, bool)
-    sign[cell[first]] = key[first] & ((np.uint64(1) << low) - np.uint64(1))
-    full[cell[first]] = True
-    # how many bits of the hash are kept depends on the block: cut all to what the largest block leaves
-    sign = (sign >> np.uint64(max(0, 64 - bits - SIGN_BITS))).reshape(n, _BINS)
-    full = full.reshape(n, _BINS)
+    sign = np.full(n * _BINS, _EMPTY)
+    np.minimum.at(sign, cell, (h >> np.uint64(32)).astype(np.uint32))
+    sign = sign.reshape(n, _BINS)
+    full = sign != _EMPTY
     for b in range(_BINS):
         empty = np.flatnonzero(~full[:, b])
         if len(empty):
             other = full[empty][:, _INSTEAD[b]].argmax(1)
             sign[empty, b] = sign[empty, _INSTEAD[b][other]]
-    out = np.zeros((n, BANDS), np.uint64)
+    keys = np.zeros((n, BANDS), np.uint64)
     for r in range(ROWS):
-        out = mix(out * np.uint64(31) + sign[:, r::ROWS] + np.arange(BANDS, dtype=np.uint64))
-    return out
+        keys = mix(keys * np.uint64(31) + sign[:, r::ROWS] + np.arange(BANDS, dtype=np.uint64))
+    bits = np.zeros(n * SKETCH * 64, bool)
+    bits[line * (SKETCH * 64) + ((h >> np.uint64(16)) % np.uint64(SKETCH * 64)).astype(np.int64)] = True
+    return keys, np.packbits(bits).view(np.uint64).reshape(n, SKETCH)
 
 
-def _distinct(column: pa.Array) -> Iterator[tuple[Lines, np.ndarray, np.ndarray]]:
-    """For each block its lines, which of them are the first of their kind in it and have shingles, and the bands of those."""
-    for _, _, buf, off in blocks(column):
-        lines = Lines(buf, off)
-        if not lines.lines:
-            continue
-        _, at = np.unique(lines.ids, return_index=True)
-        chars = np.diff(np.concatenate([[0], np.cumsum(starts_of_codepoints(lines.buf))])[lines.off])
-        at = at[chars[at] >= SHINGLE]  # shorter ones can only be equal, and equal lines are one vertex
-        if not len(at):
-            continue
-        size = np.diff(lines.off)[at]
-        cut = np.concatenate([[0], np.cumsum(size)])
-        flat = np.frombuffer(b"".join(lines.lines[i] for i in at), np.uint8)
-        yield lines, at, bands(flat, cut)
-
-
-def _all_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lines, at, keys in _distinct(b.column("text")):
-            yield pa.RecordBatch.from_arrays([pa.array(signed(keys.ravel())), pa.array(signed(np.repeat(lines.ids[at], BANDS)))], ["bucket", "vertex"])
+_WORDS = [f"s{i}" for i in range(SKETCH)]
+_PLACES = "doc_id long, tag long, line_no long, vertex long"
 
 
-def _candidates(filter_: bytes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lines, at, keys in _distinct(b.column("text")):
-                ok = passes(filter_, keys.ravel()).reshape(keys.shape)
-                some = np.flatnonzero(ok.any(1))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ok[some].sum(1))]), pa.int32()), pa.array(signed(keys[some][ok[some]])))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(lines.ids[at[some]])), pa.array([lines.lines[i].decode() for i in at[some]], pa.string()), lists], ["vertex", "line", "buckets"])
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each line that has a shingle and is the first of its kind in its block."""
+    for b in batches:
+        for _, _, buf, off in blocks(b.column("text"), SMALL):
+            lines = Lines(buf, off)
+            _, at = np.unique(lines.ids, return_index=True)
+            h, made = char_shingles([lines.lines[i] for i in at])
+            at, made = at[made > 0], made[made > 0]  # shorter ones can only be equal, and equal lines are one vertex
+            if len(at):
+                keys, words = signatures(h, made)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(signed(keys.ravel())), BANDS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(lines.ids[at])), pa.array(made), lists, *(pa.array(signed(words[:, i])) for i in range(SKETCH))], ["vertex", "n", "buckets", *_WORDS])
 
-    return run
+
+def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """vertex, line of the lines with the numbers asked for."""
+    for b in batches:
+        ids, lines = [], []
+        for text, numbers in zip(b.column("text").to_pylist(), b.column("numbers").to_pylist(), strict=True):
+            parts = text.encode().split(b"\n")
+            lines += [b" ".join(parts[j].split()) for j in numbers]
+        ids = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(ids)), pa.array([x.decode() for x in lines], pa.string())], ["vertex", "line"])
+
+
+def similar(left: list[str], right: list[str], percent: int) -> np.ndarray:
+    """Whether the shingle sets of each pair of lines are so much alike. Shorter lines are like equal ones only."""
+    n = len(left)
+    h, made = char_shingles([x.encode() for x in (*left, *right)])
+    pair = np.repeat(np.arange(2 * n) % max(n, 1), made).astype(np.uint64)
+    side = np.repeat(np.arange(2 * n) >= n, made)
+    shift = np.uint64(max(12, (max(n, 1) - 1).bit_length()))
+    key = (pair << (np.uint64(64) - shift)) | (h >> shift)
+    x, y = np.unique(key[~side]), np.unique(key[side])
+    sizes = [np.bincount((k >> (np.uint64(64) - shift)).astype(np.int64), minlength=n) for k in (x, y, np.intersect1d(x, y, assume_unique=True))]
+    return (sizes[2] > 0) & (100 * sizes[2] >= percent * (sizes[0] + sizes[1] - sizes[2]))
 
 
 def _verifier(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(b.column("line_a").to_pylist(), b.column("line_b").to_pylist(), strict=True)):
-                x, y = ({t[j : j + SHINGLE] for j in range(len(t) - SHINGLE + 1)} for t in (x, y))
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):  # else not even one inside the other
-                    common = len(x & y)
-                    if 100 * common >= percent * (len(x) + len(y) - common):
-                        keep.append(i)
-            yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            for a in range(0, b.num_rows, 1000):
+                part = b.slice(a, 1000)
+                keep = similar(part.column("line_a").to_pylist(), part.column("line_b").to_pylist(), percent)
+                yield part.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, tags, row = b.column("doc_id"), b.column("_tag"), 0
-        for _, n, buf, off in blocks(b.column("text")):
+        ids, tags = b.column("doc_id"), b.column("tag")
+        for row, _, buf, off in blocks(b.column("text"), SMALL):
             lines = Lines(buf, off)
             at = pa.array(np.array(lines.row, np.int64) + row)
-            yield pa.RecordBatch.from_arrays([ids.take(at), tags.take(at), pa.array(lines.number, pa.int64()), pa.array(signed(lines.ids))], ["doc_id", "_tag", "line_no", "vertex"])
-            row += n
+            yield pa.RecordBatch.from_arrays([ids.take(at), tags.take(at), pa.array(lines.number, pa.int64()), pa.array(signed(lines.ids))], ["doc_id", "tag", "line_no", "vertex"])
+
+
+def _may_link(percent: int) -> str:
+    """What two lines of the needed likeness have: sketches that differ in no more bits than their sets in shingles."""
+    return f"{sketch_distance()} * {100 + percent} <= {100 - percent} * (a_n + b_n)"
 
 
 def dropped_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, _tag (of the text), drop: the numbers of the lines of each document that others stand for; documents without such are left out."""
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("_tag"))
-    shared = bucket_filter(shared_buckets(docs.mapInArrow(_all_bands, "bucket long, vertex long")))
-    found = docs.mapInArrow(_candidates(shared), "vertex long, line string, buckets array<long>")
-    found = checkpointed(found.groupBy("vertex").agg(F.first("line").alias("line"), F.first("buckets").alias("buckets")))
-    members = found.select("vertex", F.explode("buckets").alias("bucket"))
-    members = checkpointed(members.join(shared_buckets(members), "bucket", "left_semi"))
+    """doc_id, tag (xxhash64 of the text), drop: the numbers of the lines that others stand for; documents without such are left out."""
+    scratch = Scratch(docs.sparkSession)
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
+    made = scratch.write(docs.select("text").mapInArrow(_signed, f"vertex long, n long, buckets array<long>, {', '.join(f'{w} long' for w in _WORDS)}"))
+    rows = made.select("vertex", F.explode("buckets").alias("bucket"))
+    rows = rows.join(shared_buckets(rows), "bucket", "left_semi").distinct()
+    features = made.drop("buckets").dropDuplicates(["vertex"])
+    members = scratch.write(rows.join(features, "vertex"))
+    scratch.drop(made)
+    # every line's place, but those of lines that occur once and have no candidate: nothing can drop them
+    places = docs.where("doc_id is not null").mapInArrow(_places, _PLACES)
+    first = places.groupBy("vertex").agg(F.min(F.struct("doc_id", "line_no", "tag")).alias("first"), F.count("*").alias("n"))
+    first = scratch.write(first.join(members.select("vertex", F.lit(True).alias("member")).distinct(), "vertex", "left").where("n > 1 or member"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda k: found.select(F.col("vertex").alias(k), F.col("line").alias(f"line_{k}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verifier(percent), "a long, b long")
-
-    groups = linked(members, verify)
-    places = docs.where("doc_id is not null").mapInArrow(_places, "doc_id long, _tag long, line_no long, vertex long")
-    # lines that occur once and have no link can't be dropped: few are left to sort
-    first = places.groupBy("vertex").agg(F.min(F.struct("doc_id", "line_no", "_tag")).alias("first"), F.count("*").alias("n"))
-    first = checkpointed(first.join(groups, "vertex", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "vertex")))
-    kept = first.groupBy("component").agg(F.min("first").alias("kept"))
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
+        at = first.join(needed, "vertex", "left_semi").groupBy("first.doc_id", "first.tag").agg(F.collect_set("first.line_no").alias("numbers"))
+        asked = docs.join(at, ["doc_id", "tag"]).select("text", "numbers")
+        lines = scratch.write(asked.mapInArrow(_fetched, "vertex long, line string").dropDuplicates(["vertex"]))
+        side = lambda k: lines.select(F.col("vertex").alias(k), F.col("line").alias(f"line_{k}"))
+        found = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verifier(percent), "a long, b long"))
+        scratch.drop(lines)
+        return found
+
+    groups = linked(members, verify, _may_link(percent), scratch)
+    first = first.join(groups, "vertex", "left").withColumn("component", F.coalesce("component", "vertex")).where("n > 1 or component != vertex or member")
+    kept = first.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("all")).where("all > 1").select("component", "kept")
     first = first.join(kept, "component").select("vertex", "kept")
-    out = places.join(first, "vertex").where("doc_id != kept.doc_id or line_no != kept.line_no or _tag != kept._tag")
-    return out.groupBy("doc_id", "_tag").agg(F.collect_set("line_no").alias("drop"))  # a document's own lines
+    out = places.join(first, "vertex").where("doc_id != kept.doc_id or line_no != kept.line_no or tag != kept.tag")
+    out = scratch.write(out.groupBy("doc_id", "tag").agg(F.collect_set("line_no").alias("drop")))  # a document's own lines
+    scratch.drop(members, groups)
+    return out
 
 
-def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents' columns, text without the dropped lines, and n_lines and n_dropped."""
-    drop = dropped_lines(docs, percent)
-    d = docs.drop("n_lines", "n_dropped").withColumn("_tag", F.xxhash64("text")).join(drop.withColumnRenamed("drop", "_drop"), ["doc_id", "_tag"], "left")
-    d = d.withColumn("_lines", F.split("text", "\n"))
-    left = F.filter("_lines", lambda x, i: ~F.array_contains("_drop", i.cast("long")))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    n = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
-    d = d.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(n), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long")})
-    d = d.withColumn("n_dropped", F.when(F.col("_drop").isNull(), 0).otherwise(F.col("n_dropped")))
-    return d.withColumn("text", text).drop("_drop", "_lines", "_tag")
+def dedup(docs: DataFrame, percent: int = PERCENT, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """The documents' columns, text without the dropped lines, and the two counts, whose names must be new."""
+    if set(counts) & set(docs.columns):
+        raise ValueError(f"docs has a column named like one of {counts}; pass other names for the counts")
+    tag, drop, lines, doc_id = fresh(docs, "tag", "drop", "lines", "id")
+    found = dropped_lines(docs.select("doc_id", "text"), percent).select(F.col("doc_id").alias(doc_id), F.col("tag").alias(tag), F.col("drop").alias(drop))
+    d = docs.withColumns({tag: F.xxhash64("text"), doc_id: F.col("doc_id")}).join(found, [doc_id, tag], "left").withColumn(lines, F.split("text", "\n"))
+    left = F.filter(lines, lambda x, i: ~F.array_contains(drop, i.cast("long")))
+    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    gone = F.when(F.col(drop).isNull(), 0).otherwise(F.size(drop)).cast("long")
+    return d.select(*((text.alias(c) if c == "text" else F.col(f"`{c}`")) for c in docs.columns), n.alias(counts[0]), gone.alias(counts[1]))
 
 
 def op4_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,8 +231,8 @@ def op4_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents without repeated lines; those of which nothing is left go."""
-    d = dedup(docs).where("n_dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return d.select(*docs.columns)
+    """Pipeline stage: the documents without repeated lines; those of which nothing is left go. n_chars follows the text."""
+    counts = fresh(docs, "lines", "dropped")
+    d = dedup(docs, counts=tuple(counts)).where(f"{counts[1]} = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    chars = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return d.withColumns(chars).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -5,43 +5,59 @@ grows with the square of its size, and the components don't need it: each member
 pivot only, which is linear. What is linked is then one component, and the pairs still to be compared are those of a
 bucket whose members are in different components. No pair that could join two components is left out, so the
 components are exact.
+
+Before a pair becomes a row it must pass what any linked pair passes: conditions on the members' sizes, places and
+sketches, which the join itself evaluates. A sketch is a bitmap of a set's elements by hash; two of them differ in no
+more bits than the sets differ in elements, whatever collides. So a group of near copies that aren't quite alike
+enough costs comparisons of some longs within a join, but gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glint.llm.shared import checkpointed
+from glint.llm.shared import Scratch
+
+#: 64-bit words of a sketch, in the columns s0, s1, ...
+SKETCH = 8
+#: Turns of comparing with a pivot before the remaining pairs are compared.
+PIVOT_TURNS = 1
 
-#: Rounds of comparing with a pivot before the remaining pairs are compared.
-PIVOT_ROUNDS = 2
-#: Bits of the filter of shared buckets.
-FILTER_BITS, FILTER_SHIFT = 1 << 24, 26
 
+def sketch_distance() -> str:
+    """SQL: in how many bits the sketches of members a and b differ."""
+    return "(" + " + ".join(f"bit_count(a_s{i} ^ b_s{i})" for i in range(SKETCH)) + ")"
 
-def components(links: DataFrame) -> DataFrame:
+
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """vertex, component (the least vertex reachable) of every vertex of links (a, b: longs).
 
-    Large-star and small-star steps alternate until nothing changes: O(log n) rounds in practice, each a shuffle of the
-    remaining links whose result is checkpointed; at the end each vertex is linked to its least one.
+    Large-star and small-star steps alternate until every vertex is linked to its least one alone: O(log n) rounds in
+    practice, each a shuffle of the remaining links, written to the shared folder; the round before is then deleted.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    edges, before = checkpointed(edges), None
+    edges = scratch.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = scratch.write(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        edges = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
-        before = now
+        after = scratch.write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        scratch.drop(edges, large)
+        edges = after
+        # done: each u has one v, and no v is itself linked to something less
+        twice = edges.groupBy("u").count().where("count > 1").select("u")
+        inner = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
+        if twice.unionByName(inner).isEmpty():
+            break
+    roots = edges.select(F.col("v").alias("vertex")).distinct().withColumn("component", F.col("vertex"))
+    out = scratch.write(edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(roots))
+    scratch.drop(edges)
+    return out
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
@@ -49,67 +65,43 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return members.groupBy("bucket").agg(F.min("vertex").alias("lo"), F.max("vertex").alias("hi")).where("lo != hi").select("bucket")
 
 
-def bucket_filter(buckets: DataFrame, column: str = "bucket", bits: int = FILTER_BITS) -> bytes:
-    """Two bits for each bucket, its lowest ones and those above: fixed size, so it may be sent anywhere.
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: str, scratch: Scratch, turns: int = PIVOT_TURNS) -> DataFrame:
+    """vertex, component of all vertices that have a link.
 
-    Two set bits may be others'; a clear one is sure. Bit i is bit i % 8 of byte i // 8.
+    ``members``: distinct bucket and vertex, and what ``may_link``, SQL on the columns of members a and b (a_x, b_x),
+    looks at. ``verify`` takes distinct pairs (a < b) and returns a table of those that are linked.
     """
-    low = F.col(column).bitwiseAND(bits - 1)
-    high = F.shiftrightunsigned(column, FILTER_SHIFT).bitwiseAND(bits - 1)
-    at = buckets.select(F.explode(F.array(low, high)).alias("i"))
-    words = at.select(F.shiftright("i", 6).alias("w"), F.expr("shiftleft(1L, cast(i % 64 AS int))").alias("b"))
-    out = np.zeros(bits // 64, np.int64)
-    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():  # bits / 64 rows at most
-        out[r["w"]] = r["b"]
-    return out.astype("<i8").tobytes()
-
-
-def passes(filter_: bytes, buckets: np.ndarray) -> np.ndarray:
-    """Which of the buckets (numpy uint64) may be in the filter."""
-    bits = np.frombuffer(filter_, np.uint8)
-    mask = np.uint64(len(bits) * 8 - 1)
-    test = lambda at: (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    return test(buckets & mask) & test((buckets >> np.uint64(FILTER_SHIFT)) & mask)
-
-
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = PIVOT_ROUNDS) -> DataFrame:
-    """vertex, component of all vertices that have a link. ``members``: bucket, vertex, distinct and cheap to read again.
-
-    ``verify`` takes distinct pairs (a < b) and returns those that are linked.
-    """
-    links, known, done = None, None, None
-    for turn in range(rounds + 1):
-        if turn == rounds and known is None:  # no bucket has two members
-            break
-        rows = members if known is None else members.join(known, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
-        if turn == rounds:  # whatever may still join two components
-            rows = rows.join(_mixed(rows), "bucket")
-            other = rows.select("bucket", F.col("vertex").alias("b"), F.col("component").alias("cb"))
-            pairs = rows.join(other, "bucket").where("vertex < b and component != cb").select(F.col("vertex").alias("a"), "b")
+    columns = members.columns
+    known = done = None
+    for turn in range(turns + 1):
+        if known is None:
+            rows = members.withColumn("component", F.col("vertex"))
+        else:
+            rows = members.join(known, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+            mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
+            rows = rows.join(mixed, "bucket", "left_semi")
+        all_columns = [c for c in (*columns, "component") if c != "bucket"]
+        named = lambda d, side: d.select("bucket", *(F.col(c).alias(f"{side}_{c}") for c in all_columns))
+        if turn < turns:  # the pivot is the vertex that the most buckets have: the most like the others
+            degree = rows.groupBy("vertex").agg(F.count("*").alias("_degree"))
+            first = F.struct((-F.col("_degree")).alias("_d"), F.xxhash64("vertex").alias("_h"), *all_columns)
+            other = rows.join(degree, "vertex").groupBy("bucket").agg(F.min(first).alias("p")).select("bucket", "p.*")
         else:
-            key = F.struct(F.xxhash64(F.col("vertex"), F.lit(turn)), F.col("vertex"))
-            if known is not None:
-                rows = rows.join(_mixed(rows), "bucket")
-            pivots = rows.groupBy("bucket").agg(F.min(key)["vertex"].alias("p"))
-            if known is not None:
-                pivots = pivots.join(known.select(F.col("vertex").alias("p"), F.col("component").alias("cp")), "p", "left").withColumn("cp", F.coalesce("cp", "p"))
-                rows = rows.join(pivots, "bucket").where("vertex != p and component != cp")
-            else:
-                rows = rows.join(pivots, "bucket").where("vertex != p")
-            pairs = rows.select(F.least("vertex", "p").alias("a"), F.greatest("vertex", "p").alias("b"))
-        pairs = pairs.distinct()
-        pairs = checkpointed(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+            rows = other = scratch.write(rows)
+        pairs = named(rows, "a").join(named(other, "b"), "bucket").where(f"a_component != b_component and {may_link}")
+        if turn == turns:
+            pairs = pairs.where("a_vertex < b_vertex")
+        pairs = pairs.select(F.least("a_vertex", "b_vertex").alias("a"), F.greatest("a_vertex", "b_vertex").alias("b")).distinct()
+        pairs = scratch.write(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        if turn == turns:
+            scratch.drop(rows)
         if pairs.isEmpty():
-            if turn < rounds:
-                continue
-            break
-        done = pairs if done is None else done.unionByName(pairs)
-        found = checkpointed(verify(pairs).select("a", "b"))
-        links = found if links is None else links.unionByName(found)
-        known = checkpointed(components(links))
+            continue
+        done = pairs
+        found = verify(pairs).select("a", "b")
+        if known is not None:  # what is linked already is one star for each component
+            found = found.unionByName(known.select(F.col("vertex").alias("a"), F.col("component").alias("b")))
+        before, known = known, components(found, scratch)
+        if before is not None:
+            scratch.drop(before)
     return known if known is not None else members.select("vertex", F.col("vertex").alias("component")).limit(0)
-
-
-def _mixed(rows: DataFrame) -> DataFrame:
-    """The buckets whose members are in different components."""
-    return rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glint.llm.shared import checkpointed
+from glint.llm.shared import Scratch
 
 #: Rows of a slice, about.
 SLICE_ROWS = 20_000
@@ -103,7 +103,7 @@ def op6_mixing_es(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of each document that the mix takes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("weight"))
-    return mix(checkpointed(sized)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(Scratch(spark).write(sized)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -124,7 +124,7 @@ def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     has = [c for c in docs.columns if c in _COLUMNS]
     slim = docs.select("doc_id", "source", words(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("weight"), F.xxhash64("text").alias("_h"))
-    taken = mix(checkpointed(slim.distinct())).where("taken > 0")
+    taken = mix(Scratch(spark).write(slim.distinct())).where("taken > 0")
     d = docs.withColumn("_h", F.xxhash64("text")).alias("d").join(taken.select("doc_id", "source", "_h", "size", "taken").alias("t"), _same("doc_id", "source", "_h"))
     d = d.select("d.*", "t.size", "t.taken")
     whole = F.floor(F.col("taken") / F.col("size"))

@@ -8,17 +8,18 @@ The steps are those of prefix filtering (PPJoin+):
   n-grams are ordered by their cell's count, then by hash, which is one order for all documents; the prefix is so long
   that two sets with the needed overlap must share an n-gram in their prefixes.
 * Members of a prefix n-gram are candidates (``linking``: each with the bucket's pivot, then what is left between
-  different components). A pair is verified once, after the length, positional and suffix filters.
+  different components). Only pairs that pass the length, positional and suffix filters become rows, and each is
+  verified once by its whole sets.
 
-Scale: the counts are arrays of a fixed number of cells, summed by slab; the n-gram buckets that only one set has are
-dropped by an aggregation with map-side combining; a filter of fixed size keeps the next pass from sending what no
-other set shares. Whole sets are made again, once for each different set, and only for pairs that the length,
-positional and suffix filters leave. A vertex id is a 64-bit hash
-of the set: two different sets meet with odds of n^2 / 2^65.
+Scale: the counts are arrays of a fixed number of cells, summed by slab; with many more n-grams than cells the order
+tells less and buckets grow, but results stay. The n-gram buckets that only one set has are dropped by an aggregation
+with map-side combining and an exact semi-join. Whole sets are made again only for documents of pairs that the filters
+leave, one for each set. A vertex id is a 64-bit hash of the set: two different sets meet with odds of n^2 / 2^65.
+Sets hold 53-bit hashes of n-grams, and it is these that are verified: n-grams of one pair meet with odds of n^2 / 2^54.
 
 Defined results: null and empty texts have empty sets and no links; a text of fewer words than n has its whole sequence
-as one n-gram; rows with equal ids are linked like others; extra columns are left out; an empty table gives an empty
-result.
+as one n-gram; rows with equal ids are linked like others; texts of any length are read whole; extra columns, whatever their names, are
+left out by ``join`` and kept by ``drop_copies``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,24 +30,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glint.llm.linking import bucket_filter, linked, passes, shared_buckets
-from glint.llm.shared import checkpointed
-from glint.llm.textarrays import blocks, hashes, mix, shingles, signed, spans
+from glint.llm.linking import SKETCH, linked, shared_buckets, sketch_distance
+from glint.llm.shared import Scratch, fresh
+from glint.llm.textarrays import SMALL, blocks, hashes, mix, shingles, signed, spans
 
 #: Cells of the occurrence counts, and the slabs that they are summed in.
 CELLS, SLABS = 1 << 21, 32
-#: Parts of a set's histogram for the suffix filter.
-PARTS = 16
 _HASH_BITS = np.uint64(53)
 _MASK = np.uint64((1 << 53) - 1)
 
 
 def sets(column: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each block of texts: all their distinct n-grams, sorted within each text, and the index of each text's first."""
-    for _, rows, buf, off in blocks(column):
+    for _, rows, buf, off in blocks(column, SMALL):
         starts, ends, first = spans(buf, off)
         grams, text = shingles(hashes(buf, starts, ends), first, n)
         key = np.sort((text.astype(np.uint64) << _HASH_BITS) | (grams >> np.uint64(11)))
@@ -71,7 +70,7 @@ def occurrences(docs: DataFrame, n: int, cells: int = CELLS) -> np.ndarray:
         total = np.zeros(cells, np.int32)
         for b in batches:
             for grams, _ in sets(b.column("text"), n):
-                total += np.bincount((grams & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.int32)
+                np.add.at(total, (grams & np.uint64(cells - 1)).astype(np.int64), 1)
         if total.any():
             low = np.minimum(total, 65535).astype("<u2").reshape(SLABS, width)
             yield pa.RecordBatch.from_arrays([pa.array(range(SLABS), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in low], pa.binary())], ["slab", "counts"])
@@ -109,121 +108,106 @@ def prefixes(grams: np.ndarray, first: np.ndarray, classes: np.ndarray, percent:
     return text[keep], grams[order][keep], place[keep]
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id: two documents link when 100 * intersection >= percent * union."""
-    docs = docs.select("doc_id", "text")
-    packed = zlib.compress(occurrences(docs, n).tobytes(), 1)
+def sketches(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SKETCH words for each set: a bit is set where an odd number of its n-grams fall."""
+    n, bits = len(first) - 1, SKETCH * 64
+    of = np.repeat(np.arange(n), np.diff(first))
+    out = np.zeros((n, SKETCH), np.uint64)
+    for a in range(0, n, 512):
+        lo, hi = first[a], first[min(a + 512, n)]
+        count = np.bincount((of[lo:hi] - a) * bits + (mix(grams[lo:hi]) % np.uint64(bits)).astype(np.int64), minlength=min(512, n - a) * bits)
+        out[a : a + 512] = np.packbits((count & 1).astype(bool)).view(np.uint64).reshape(-1, SKETCH)
+    return out
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = _classes(packed)
-        for b in batches:
-            for grams, first in sets(b.column("text"), n):
-                ids = set_ids(grams, first)
-                text, gram, _ = prefixes(grams, first, classes, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(gram)), pa.array(signed(ids)[text])], ["bucket", "vertex"])
 
-    shared = bucket_filter(shared_buckets(docs.mapInArrow(tokens, "bucket long, vertex long")))
+_WORDS = [f"s{i}" for i in range(SKETCH)]
+
+
+def _may_link(percent: int) -> str:
+    """The length, positional and suffix filters. a_pos: an n-gram's place in the rarest-first order of its set.
+
+    The suffix filter is a least Hamming distance of the sets, from their sketches.
+    """
+    need = f"(({percent} * (a_n + b_n) + {99 + percent}) div {100 + percent})"
+    length = f"100 * a_n >= {percent} * b_n and 100 * b_n >= {percent} * a_n"
+    place = f"least(a_pos, b_pos) + 1 + least(a_n - a_pos - 1, b_n - b_pos - 1) >= {need}"
+    return f"{length} and {place} and {sketch_distance()} <= a_n + b_n - 2 * {need}"
+
+
+def groups(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, tag (xxhash64 of the text), n_shingles, component (a number for each group of linked sets) of all rows."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
+    packed = zlib.compress(occurrences(docs, n).tobytes(), 1)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row a document: its set's id and size, its shared prefix n-grams, and the sizes of the set's parts if it has such."""
+        """A row a document: its set's id and size, its prefix n-grams in their order, and its sketch."""
         classes = _classes(packed)
         for b in batches:
             row = 0
             for grams, first in sets(b.column("text"), n):
                 ids, size = set_ids(grams, first), np.diff(first)
-                doc_ids, row = b.column("doc_id").slice(row, len(size)), row + len(size)
-                text, gram, place = prefixes(grams, first, classes, percent)
-                ok = passes(shared, gram)
-                text, gram, place = text[ok], gram[ok], place[ok]
-                at = np.searchsorted(text, np.arange(len(size) + 1))
-                some = np.diff(at) > 0
-                of = np.repeat(np.arange(len(size)), size)
-                parts = np.bincount(of * PARTS + (grams & np.uint64(PARTS - 1)).astype(np.int64), minlength=len(size) * PARTS).reshape(-1, PARTS)[some]
-                cut = np.concatenate([[0], np.cumsum(some * PARTS)])
-                out = [doc_ids, pa.array(signed(ids)), pa.array(size, pa.int64()), _lists(signed(gram), at, pa.int64()), _lists(place, at, pa.int32()), _lists(parts.ravel(), cut, pa.int32())]
-                yield pa.RecordBatch.from_arrays(out, _NAMES)
-
-    base = checkpointed(docs.mapInArrow(rows, "doc_id long, vertex long, n_shingles long, tokens array<long>, places array<int>, parts array<int>"))
-    one = base.where(F.size("tokens") > 0).drop("doc_id").dropDuplicates(["vertex"])
-    members = checkpointed(one.select("vertex", F.explode("tokens").alias("bucket")))
-    members = checkpointed(members.join(shared_buckets(members), "bucket", "left_semi"))
-    one = checkpointed(one.join(members.select("vertex").distinct(), "vertex", "left_semi"))
-
-    def whole(needed: bytes):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            met: set[int] = set()
-            for b in batches:
-                for grams, first in sets(b.column("text"), n):
-                    ids = set_ids(grams, first)
-                    take = [i for i in np.flatnonzero(passes(needed, ids)) if ids[i] not in met and first[i + 1] > first[i]]
-                    take = list({int(ids[i]): i for i in take}.values())
-                    met.update(int(ids[i]) for i in take)
-                    if take:
-                        flat = np.concatenate([grams[first[i] : first[i + 1]] for i in take])
-                        cut = np.concatenate([[0], np.cumsum([first[i + 1] - first[i] for i in take])])
-                        yield pa.RecordBatch.from_arrays([pa.array(signed(ids[take])), _lists(signed(flat), cut, pa.int64())], ["vertex", "grams"])
-
-        return run
+                text, gram, _ = prefixes(grams, first, classes, percent)
+                words = sketches(grams, first)
+                own = [b.column(c).slice(row, len(size)) for c in ("doc_id", "tag")]
+                row += len(size)
+                out = [*own, pa.array(signed(ids)), pa.array(size, pa.int64()), _lists(signed(gram), np.searchsorted(text, np.arange(len(size) + 1)), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*out, *(pa.array(signed(words[:, i])) for i in range(SKETCH))], ["doc_id", "tag", "vertex", "n_shingles", "grams", *_WORDS])
+
+    schema = f"doc_id long, tag long, vertex long, n_shingles long, grams array<long>, {', '.join(f'{w} long' for w in _WORDS)}"
+    base = scratch.write(docs.mapInArrow(rows, schema))
+    one = scratch.write(base.where("n_shingles > 0").select("vertex", F.col("n_shingles").alias("n"), "grams", *_WORDS).dropDuplicates(["vertex"]))
+    members = one.select("vertex", F.posexplode("grams").alias("pos", "bucket"))
+    members = members.join(shared_buckets(members), "bucket", "left_semi")
+    members = scratch.write(members.join(one.drop("grams"), "vertex"))
+    scratch.drop(one)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for grams, first in sets(b.column("text"), n):
+                yield pa.RecordBatch.from_arrays([pa.array(signed(set_ids(grams, first))), _lists(signed(grams), first, pa.int64())], ["vertex", "grams"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        def both(d: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
-            for k in "ab":
-                d = d.join(of.select(F.col("vertex").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in columns)), k)
-            return d
-
-        x, y = F.col("n_shingles_a"), F.col("n_shingles_b")
-        near = both(pairs, one, ["n_shingles"]).where((100 * x >= percent * y) & (100 * y >= percent * x))  # length filter
-        near = checkpointed(both(near.select("a", "b"), one, _NAMES[2:]).mapInArrow(_filtered(percent), "a long, b long"))
-        needed = near.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
-        made = docs.mapInArrow(whole(bucket_filter(needed, "vertex")), "vertex long, grams array<long>").dropDuplicates(["vertex"])
-        return both(near, checkpointed(made), ["grams"]).mapInArrow(_verified(percent), "a long, b long")
-
-    found = linked(members, verify)
-    d = base.select("doc_id", "vertex", "n_shingles").join(found, "vertex", "left")
-    d = d.withColumn("_group", F.coalesce("component", "vertex"))
-    # the least doc_id of a group, by an aggregation that combines before it shuffles
-    least = d.where("n_shingles > 0").groupBy("_group").agg(F.min("doc_id").alias("_least"))
-    d = d.join(least, "_group", "left")
-    return d.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"))
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
+        at = base.join(needed, "vertex", "left_semi").groupBy("vertex").agg(F.min(F.struct("doc_id", "tag")).alias("at"))
+        at = at.select(F.col("at.doc_id").alias("_id"), F.col("at.tag").alias("_tag"))
+        texts = docs.join(at, (F.col("tag") == F.col("_tag")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+        made = scratch.write(texts.mapInArrow(whole, "vertex long, grams array<long>").dropDuplicates(["vertex"]))
+        side = lambda k: made.select(F.col("vertex").alias(k), F.col("grams").alias(f"grams_{k}"))
+        found = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(percent), "a long, b long"))
+        scratch.drop(made)
+        return found
+
+    found = linked(members, verify, _may_link(percent), scratch)
+    scratch.drop(members)
+    d = base.select("doc_id", "tag", "vertex", "n_shingles").join(found, "vertex", "left")
+    return d.select("doc_id", "tag", "n_shingles", F.coalesce("component", "vertex").alias("component"))
 
 
-_NAMES = ["doc_id", "vertex", "n_shingles", "tokens", "places", "parts"]
+def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id: two documents link when 100 * intersection >= percent * union."""
+    found = groups(docs, Scratch(docs.sparkSession), n, percent)
+    # the least doc_id of a group, by an aggregation that combines before it shuffles
+    least = found.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    d = found.join(least, "component", "left")
+    return d.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _lists(flat: np.ndarray, cut: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat, kind))
 
 
-def _kept(batch: pa.RecordBatch, test) -> pa.RecordBatch:
-    """a and b of the rows that pass a test of their list columns."""
-    lists = {c: batch.column(c) for c in batch.schema.names if c not in ("a", "b")}
-    keep = [i for i in range(batch.num_rows) if test({c: v[i].values.to_numpy() if pa.types.is_list(v.type) else v[i].as_py() for c, v in lists.items()})]
-    return batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-
-def _filtered(percent: int):
-    def test(r: dict) -> bool:
-        x, y = r["n_shingles_a"], r["n_shingles_b"]
-        need = -(-percent * (x + y) // (100 + percent))
-        # positional filter: past the last shared prefix n-gram only the shorter rest can be shared
-        both, ix, iy = np.intersect1d(r["tokens_a"], r["tokens_b"], assume_unique=True, return_indices=True)
-        if len(both):
-            px, py = r["places_a"][ix], r["places_b"][iy]
-            last = int(np.argmax(px))
-            if len(both) + min(x - int(px[last]), y - int(py[last])) - 1 < need:
-                return False
-        # suffix filter: the sets differ by at least the differences of their parts' sizes
-        return (x + y - int(np.abs(r["parts_a"] - r["parts_b"]).sum())) // 2 >= need
-
-    return lambda batches: (_kept(b, test) for b in batches)
-
-
 def _verified(percent: int):
-    def test(r: dict) -> bool:
-        common = len(np.intersect1d(r["grams_a"], r["grams_b"], assume_unique=True))
-        return 100 * common >= percent * (len(r["grams_a"]) + len(r["grams_b"]) - common)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets_of = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (b.column("grams_a"), b.column("grams_b"))]
+            keep = np.zeros(b.num_rows, bool)
+            for i in range(b.num_rows):
+                x, y = (flat[cut[i] : cut[i + 1]] for flat, cut in sets_of)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
+            yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    return lambda batches: (_kept(b, test) for b in batches)
+    return run
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,12 +216,21 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, n: int = 5, percent: int = 80) -> DataFrame:
-    """Pipeline stage: of each component the row with the least doc_id (of several, the least text); all others stay."""
-    found = checkpointed(join(docs, n, percent))
-    dropped = found.where("doc_id != component_id").select("doc_id").distinct()
-    rest = docs.join(dropped, "doc_id", "left_anti")
-    again = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("_again"))
-    w = Window.partitionBy("doc_id").orderBy("text")
-    rest = rest.join(again, "doc_id", "left")
-    once = rest.where("_again").withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    return rest.where("_again is null").drop("_again").unionByName(once.drop("_again", "_n"))
+    """Pipeline stage: of each component one row stays, that with the least doc_id (null last; of equal ids, the least hash of the text).
+
+    Rows are told apart by doc_id and text, so rows that share an id and nothing else all stay. Rows equal in both are
+    copies of each other: one of them stays. Rows without words stay, all of them.
+    """
+    scratch = Scratch(spark)
+    found = scratch.write(groups(docs, scratch, n, percent).where("n_shingles > 0"))
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("kept"))
+    rows = found.groupBy("doc_id", "tag", "component").count().join(kept, "component")
+    mine = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("tag") == F.col("kept.tag"))
+    key, tag, state = fresh(docs, "key", "tag", "state")
+    # 0: a copy, 1: kept but several times
+    rows = rows.select(F.col("doc_id").alias(key), F.col("tag").alias(tag), F.when(~mine, 0).when(F.col("count") > 1, 1).alias(state)).where(F.col(state).isNotNull())
+    d = docs.withColumn(f"{tag}t", F.xxhash64("text"))
+    d = d.join(scratch.write(rows), (F.col(f"{tag}t") == F.col(tag)) & F.col("doc_id").eqNullSafe(F.col(key)), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = d.where(F.col(state) == 1).dropDuplicates([key, tag]).select(*columns)
+    return d.where(F.col(state).isNull()).select(*columns).unionByName(once)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glint.llm.shared import checkpointed
+from glint.llm.shared import Scratch
 from glint.llm.textarrays import Seen, blocks, spans
 
 #: Tokens of the longest piece, the id after each document, and pieces of a slice, about.
@@ -129,5 +129,5 @@ def op9_packing_pow2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: the pieces, each with its sequence."""
-    found = checkpointed(pieces(docs, with_ids=False))
+    found = Scratch(spark).write(pieces(docs, with_ids=False))
     return pack(found).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

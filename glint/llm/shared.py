@@ -1,18 +1,60 @@
-"""Cutting lineage where every executor can read it again."""
+"""Tables between the steps of an operator, where every executor can read them again."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Only a session on this machine alone, as in tests, may go without and gets a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return tempfile.mkdtemp(prefix="glint")
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
-    The folder is spark.checkpoint.dir. Only where the session has none, as in tests, is a folder of this machine used.
+
+class Scratch:
+    """Tables of one call of an operator: Parquet in the shared folder, which cuts the lineage and outlives executors.
+
+    What is dropped is deleted at once; the rest, which a result may still read, when the application ends.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint()
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, f"{shared_folder(spark)}/glint-{uuid.uuid4().hex}"
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._files.deleteOnExit(self._path(self.root))
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table of its own."""
+        path = f"{self.root}/{len(self._paths)}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more. What wasn't written here is left alone."""
+        for t in tables:
+            if id(t) in self._paths:
+                self._files.delete(self._path(self._paths[id(t)][1]), True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that df doesn't have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out

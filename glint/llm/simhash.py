@@ -12,14 +12,15 @@ documents have it; ``near_counts`` and ``near_documents`` go back to the documen
 
 NEAR: a word 5-gram Jaccard of 0.8 is a cosine of about 0.89, so 19.4 differing bits of 128 on average, give or take 4.
 
-Scale: fingerprints are made in a narrow ``mapInArrow``. What needs the next document in order of doc_id is made where
-rows are dealt by ranges of doc_id: one shuffle of the texts, and the edges of the ranges (a text each) meet in a small
-join. The rows between are written to the checkpoint folder, which is read twice. The comparison takes time in
-proportion to (fingerprints asked for) x (fingerprints), and each worker has 16 bytes for each one asked for.
+Scale: fingerprints are made in a narrow ``mapInArrow``, a bounded number of votes and characters at a time. What needs
+the next document in order of doc_id is made where rows are dealt by ranges of doc_id: one shuffle of the texts, and the
+edges of the ranges (a text each) meet in a small join. The results are written to the shared folder, which is read
+twice. Beyond RADIUS the comparison takes time in proportion to (fingerprints asked for) x (fingerprints); both are
+dealt in blocks of BLOCK fingerprints, and every block asked for meets every other one.
 
 Defined results: a null text is empty; a text without words has the fingerprint 0; equal texts have equal fingerprints;
-rows with equal doc_id follow each other in the order of their texts; a lone document is its own next; an empty table
-gives an empty result.
+rows with equal doc_id follow each other in the order of their texts, null first; a lone document is its own next; texts
+of any length are read whole; other columns, whatever their names, are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,33 +35,32 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from glint.llm.shared import checkpointed
-from glint.llm.textarrays import _STEP, blocks, hashes, mix, shingles, spans
+from glint.llm.shared import Scratch
+from glint.llm.textarrays import _STEP, SMALL, blocks, hashes, mix, shingles, spans
 
 #: Words of a term; bits of a fingerprint (a multiple of 64); the widest radius by tables.
 TERM, BITS, RADIUS = 5, 128, 3
 #: Bits that fingerprints of near documents may differ in.
 NEAR = 24
+#: Terms whose votes are added at a time; fingerprints in a block of the comparison; rows and characters of a batch.
+VOTES, BLOCK, BATCH_ROWS, BATCH_CHARS = 4096, 4096, 500, 500_000
 _LANES = [np.uint64(x) for x in np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, BITS // 64)]
 
 
 def fingerprints(texts: pa.Array) -> np.ndarray:
     """(texts, BITS / 8) bytes."""
     out = []
-    for _, n, buf, off in blocks(texts):
+    for _, n, buf, off in blocks(texts, SMALL):
         starts, ends, first = spans(buf, off)
         terms, text = shingles(hashes(buf, starts, ends), first, TERM)
         total = np.zeros((n, BITS), np.int32)
-        cut = np.searchsorted(text, np.arange(n + 1))
-        has = np.flatnonzero(np.diff(cut))
-        if len(terms):
-            lanes = np.stack([mix(terms * _STEP[0] + lane) for lane in _LANES], 1)
-            for a in range(0, len(has), 64):  # so many texts' bits at a time
-                some = has[a : a + 64]
-                lo, hi = cut[some[0]], cut[some[-1] + 1]
-                bits = np.unpackbits(lanes[lo:hi].view(np.uint8).reshape(hi - lo, -1), axis=1)
-                total[some] = np.add.reduceat(bits, cut[some] - lo, axis=0, dtype=np.int32)
-        out.append(np.packbits(2 * total > np.diff(cut)[:, None], axis=1))
+        for a in range(0, len(terms), VOTES):  # a text's terms may lie in several parts
+            part, of = terms[a : a + VOTES], text[a : a + VOTES]
+            lanes = np.stack([mix(part * _STEP[0] + lane) for lane in _LANES], 1)
+            bits = np.unpackbits(lanes.view(np.uint8).reshape(len(part), -1), axis=1)
+            begin = np.flatnonzero(np.diff(of, prepend=-1))
+            total[of[begin]] += np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+        out.append(np.packbits(2 * total > np.bincount(text, minlength=n)[:, None], axis=1))
     return np.concatenate(out) if out else np.zeros((0, BITS // 8), np.uint8)
 
 
@@ -98,27 +98,36 @@ _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Results of all rows of a sorted range but its last, and the range's first and last row as they are."""
-    part, held, empty = TaskContext.get().partitionId(), None, True
+    part, names = TaskContext.get().partitionId(), [*_NAMES, "kind", "part", "text"]
+    ids: list = []  # rows not worked off yet; the last one waits for its next
+    texts: list[str] = []
+    chars, empty = 0, True
 
-    def edge(kind: str, row) -> pa.RecordBatch:
-        none = [pa.array([None], pa.string()) if i in (2, 3, 4) else pa.array([None], pa.float64() if i > 4 else pa.int64()) for i in range(1, 7)]
-        return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *none, pa.array([kind]), pa.array([part], pa.int32()), pa.array([row[1]], pa.string())], [*_NAMES, "kind", "part", "text"])
+    def edge(kind: str, i, text: str) -> pa.RecordBatch:
+        none = [pa.array([None], pa.string()) if k in (2, 3, 4) else pa.array([None], pa.float64() if k > 4 else pa.int64()) for k in range(1, 7)]
+        return pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), *none, pa.array([kind]), pa.array([part], pa.int32()), pa.array([text], pa.string())], names)
+
+    def done() -> pa.RecordBatch:
+        n = len(ids) - 1
+        made = _rows(ids[:n], texts[:n], texts[1:])
+        return pa.RecordBatch.from_arrays([*made.columns, pa.array(["row"] * n), pa.array([part] * n, pa.int32()), pa.nulls(n, pa.string())], names)
 
     for b in batches:
-        ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-        if not ids:
-            continue
-        if empty:
-            yield edge("first", (ids[0], texts[0]))
-        else:
-            ids, texts = [held[0], *ids], [held[1], *texts]
-        empty, held = False, (ids[-1], texts[-1])
-        for a in range(0, len(ids) - 1, 500):
-            z = min(a + 500, len(ids) - 1)
-            done = _rows(ids[a:z], texts[a:z], texts[a + 1 : z + 1])
-            yield pa.RecordBatch.from_arrays([*done.columns, pa.array(["row"] * (z - a)), pa.array([part] * (z - a), pa.int32()), pa.nulls(z - a, pa.string())], [*_NAMES, "kind", "part", "text"])
+        for i, text in zip(b.column("doc_id"), b.column("text"), strict=True):
+            i, text = i.as_py(), text.as_py() or ""
+            if empty:
+                yield edge("first", i, text)
+            empty = False
+            ids.append(i)
+            texts.append(text)
+            chars += len(text)
+            if len(ids) > 1 and (chars > BATCH_CHARS or len(ids) > BATCH_ROWS):
+                yield done()
+                ids, texts, chars = ids[-1:], texts[-1:], len(text)
+    if len(ids) > 1:
+        yield done()
     if not empty:
-        yield edge("last", held)
+        yield edge("last", ids[-1], texts[-1])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,17 +136,16 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows([i], [t], [x])
 
 
-def compare_with_next(docs: DataFrame) -> DataFrame:
+def compare_with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints, near_edited and near_next, for all rows."""
-    dealt = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id"), F.col("text").isNull(), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
-    made = checkpointed(dealt.mapInArrow(_within, f"{_SCHEMA}, kind string, part int, text string"))
-    # two rows a range: each range's last row meets the first of the next range that has rows
-    ends = made.where("kind != 'row'").select("doc_id", "kind", "part", "text")
-    order = Window.orderBy("part")
-    firsts = ends.where("kind = 'first'").select("part", F.col("text").alias("own"))
-    firsts = firsts.withColumn("before", F.lag("part").over(order)).withColumn("most", F.max("part").over(Window.partitionBy()))
-    lasts = ends.where("kind = 'last'").select("doc_id", "text", F.col("part").alias("at"))
-    edges = lasts.join(firsts.select(F.coalesce("before", "most").alias("at"), F.col("own").alias("after")), "at")
+    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id", F.col("text").isNotNull(), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    made = scratch.write(dealt.mapInArrow(_within, f"{_SCHEMA}, kind string, part int, text string"))
+    # each range's last row meets the first of the next range that has rows; only the ranges' numbers are put in order
+    parts = made.where("kind = 'first'").select("part")
+    after = F.lead("part").over(Window.orderBy("part"))
+    parts = parts.select("part", F.coalesce(after, F.min("part").over(Window.partitionBy())).alias("next"))
+    firsts = made.where("kind = 'first'").select(F.col("part").alias("next"), F.col("text").alias("after"))
+    edges = made.where("kind = 'last'").select("doc_id", "text", "part").join(parts, "part").join(firsts, "next")
     return made.where("kind = 'row'").select(*_NAMES).unionByName(edges.select("doc_id", "text", "after").mapInArrow(_edges, _SCHEMA))
 
 
@@ -158,8 +166,9 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, queries: DataFrame | Non
     """
     prints = prints.select("fingerprint").where("fingerprint is not null").distinct()
     if radius > RADIUS:
-        asked = _asked(prints if queries is None else queries)
-        return prints.mapInArrow(_scan(asked, radius), "a string, b string, distance int").where("a < b" if queries is None else "a != b")
+        asked = prints if queries is None else queries.select("fingerprint")
+        found = _compared(_packed(asked, "asked"), _packed(prints, "prints"), _pairs_within(radius), "a string, b string, distance int")
+        return found.where("a < b" if queries is None else "a != b")
     binary = F.concat(*[F.lpad(F.conv(F.substring("fingerprint", 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(BITS // 32)])
     chosen = tables(prints.count(), radius)
 
@@ -179,11 +188,11 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, queries: DataFrame | Non
 
 def _lanes(prints: list[str]) -> np.ndarray:
     """(fingerprints, BITS / 64) words."""
-    return np.frombuffer(bytes.fromhex("".join(prints)), np.uint64).reshape(-1, BITS // 64)
+    return _words(bytes.fromhex("".join(prints)))
 
 
-def _asked(prints: DataFrame) -> list[str]:
-    return sorted(r.fingerprint for r in prints.select("fingerprint").where("fingerprint is not null").distinct().toLocalIterator())
+def _words(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64).reshape(-1, BITS // 64)
 
 
 def within(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -200,36 +209,56 @@ def within(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[n
             yield i[ok] + a, j[ok] + b, apart[ok]
 
 
-def _scan(asked: list[str], radius: int):
-    packed = bytes.fromhex("".join(asked))
+def _packed(prints: DataFrame, name: str, counted: bool = False) -> DataFrame:
+    """Blocks of up to BLOCK fingerprints: ``name``, their bytes, and if ``counted`` n, how many rows have each."""
+    names = [name, *["n"] * counted]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = np.frombuffer(packed, np.uint64).reshape(-1, BITS // 64)
         for b in batches:
-            own = b.column("fingerprint")
-            for i, j, apart in within(left, _lanes(own.to_pylist()), radius):
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array([packed[16 * k : 16 * k + 16].hex() for k in i.tolist()], pa.string()), own.take(pa.array(j)), pa.array(apart, pa.int32())], ["a", "b", "distance"])
+            for a in range(0, b.num_rows, BLOCK):
+                part = b.slice(a, BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array([_lanes(part.column("fingerprint").to_pylist()).tobytes()], pa.binary()), *(pa.array([part.column(c).to_pylist()]) for c in names[1:])], names)
 
-    return run
+    prints = prints.where("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("n"))
+    return prints.mapInArrow(run, f"{name} binary" + ", n array<long>" * counted)
 
 
-def near_counts(docs: DataFrame, asked: DataFrame, radius: int = NEAR) -> DataFrame:
-    """a (a fingerprint of ``asked``), n: how many rows of ``docs`` lie within the radius, its own and copies too."""
-    packed = bytes.fromhex("".join(_asked(asked)))
+def _compared(asked: DataFrame, prints: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over all pairs of a block asked for and a block of ``prints``: the stated queries against all rows, in blocks."""
+    return asked.crossJoin(prints).mapInArrow(run, schema)
 
+
+def _pairs_within(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = np.frombuffer(packed, np.uint64).reshape(-1, BITS // 64)
-        n = np.zeros(len(left), np.int64)
-        for b in batches:
-            rows = b.column("n").to_numpy()
-            for i, j, _ in within(left, _lanes(b.column("fingerprint").to_pylist()), radius):
-                np.add.at(n, i, rows[j])
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([packed[16 * k : 16 * k + 16].hex() for k in some.tolist()], pa.string()), pa.array(n[some])], ["a", "n"])
+        for batch in batches:
+            for x, y in zip(batch.column("asked"), batch.column("prints"), strict=True):
+                x, y = x.as_py(), y.as_py()
+                for i, j, apart in within(_words(x), _words(y), radius):
+                    if len(i):
+                        text = lambda raw, at: pa.array([raw[16 * k : 16 * k + 16].hex() for k in at.tolist()], pa.string())
+                        yield pa.RecordBatch.from_arrays([text(x, i), text(y, j), pa.array(apart, pa.int32())], ["a", "b", "distance"])
+
+    return run
 
-    classes = docs.where("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("n"))
-    return classes.mapInArrow(run, "a string, n long").groupBy("a").agg(F.sum("n").alias("n"))
+
+def _counts_within(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y, rows in zip(batch.column("asked"), batch.column("prints"), batch.column("n"), strict=True):
+                x, y, rows = x.as_py(), y.as_py(), np.array(rows.as_py(), np.int64)
+                n = np.zeros(len(x) // 16, np.int64)
+                for i, j, _ in within(_words(x), _words(y), radius):
+                    np.add.at(n, i, rows[j])
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([x[16 * k : 16 * k + 16].hex() for k in some.tolist()], pa.string()), pa.array(n[some])], ["a", "n"])
+
+    return run
+
+
+def near_counts(docs: DataFrame, asked: DataFrame, radius: int = NEAR) -> DataFrame:
+    """a (a fingerprint of ``asked``), n: how many rows of ``docs`` lie within the radius, its own and copies too."""
+    found = _compared(_packed(asked, "asked"), _packed(docs, "prints", counted=True), _counts_within(radius), "a string, n long")
+    return found.groupBy("a").agg(F.sum("n").alias("n"))
 
 
 def near_documents(docs: DataFrame, asked: DataFrame | None = None, radius: int = NEAR) -> DataFrame:
@@ -262,8 +291,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``n_near``, for the documents whose id is divisible by 20: how many other rows' fingerprints lie within NEAR bits,
     copies included.
     """
-    made = compare_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    made = checkpointed(made)
+    scratch = Scratch(spark)
+    made = scratch.write(compare_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch))
     near = near_counts(made, made.where("doc_id % 20 = 0")).select(F.col("a").alias("_a"), "n")
     d = made.join(near, (F.col("fingerprint") == F.col("_a")) & (F.col("doc_id") % 20 == 0), "left")
     return d.select(*_NAMES, F.when(F.col("doc_id") % 20 == 0, F.col("n") - 1).alias("n_near"))

@@ -12,9 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes and texts in a block, unless one text alone is longer.
+#: Bytes and texts in a block, unless one text alone is longer; and bytes where arrays should stay in the CPU's cache.
 BLOCK_BYTES = 2_000_000
 BLOCK_TEXTS = 2000
+SMALL = 256_000
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
 _BYTE = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -31,15 +32,16 @@ _LOWER[65:91] += 32
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit hashes over the whole word."""
-    x = x ^ (x >> _S33)
-    x = x * _MIX1
-    x ^= x >> _S33
-    x *= _MIX2
-    x ^= x >> _S33
+    t = x >> _S33
+    x = x ^ t
+    for step in (_MIX1, _MIX2):
+        x *= step
+        np.right_shift(x, _S33, out=t)
+        x ^= t
     return x
 
 
-def blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, bytes, offsets) of a text column; null is an empty text. Offsets start at 0."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -52,7 +54,7 @@ def blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nd
     flat = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     row = 0
     while row < n:
-        end = int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, "right")) - 1
+        end = int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1
         end = min(max(end, row + 1), row + BLOCK_TEXTS, n)
         yield row, end - row, flat[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
@@ -75,24 +77,34 @@ def spans(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> t
 
 
 def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each span: a sum of byte codes times the powers of an odd number, mixed with the length."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of each span: a sum of byte codes times the powers of an odd number, mixed with the length.
+
+    Bytes are worked off SMALL at a time, so memory beyond the spans and their hashes is bounded.
+    """
     lens = ends - starts
-    longest = int(lens.max())
-    power = np.empty(longest, np.uint64)
-    power[0] = 1
-    if longest > 1:
-        power[1:] = _STEP[seed]
-        np.multiply.accumulate(power, out=power)
-    first = np.cumsum(lens) - lens
-    at = np.arange(int(lens.sum()), dtype=np.int64)
-    within = at - np.repeat(first, lens)
-    at = within + np.repeat(starts, lens)
-    code = buf[at]
-    if lower:
-        code = _LOWER[code]
-    total = np.add.reduceat(_BYTE[seed][code] * power[within], first)
+    total = np.zeros(len(starts), np.uint64)
+    power = np.full(int(min(lens.max(initial=0), SMALL)), _STEP[seed])
+    power[:1] = 1
+    np.multiply.accumulate(power, out=power)
+    for i in np.flatnonzero(lens > SMALL):
+        far = np.uint64(1)
+        for a in range(starts[i], ends[i], SMALL):
+            code = buf[a : min(a + SMALL, ends[i])]
+            total[i] += far * (_BYTE[seed][_LOWER[code] if lower else code] * power[: len(code)]).sum()
+            far *= power[-1] * _STEP[seed]
+    some = np.flatnonzero(lens <= SMALL) if (lens > SMALL).any() else slice(None)
+    starts, size = starts[some], lens[some]
+    upto = np.cumsum(size)
+    cut = [0, *np.searchsorted(upto, np.arange(SMALL, upto[-1], SMALL), "right").tolist(), len(size)] if len(size) else [0]
+    short = np.zeros(len(size), np.uint64)
+    for a, b in zip(cut, cut[1:], strict=False):
+        if a < b:
+            n = size[a:b]
+            first = np.cumsum(n) - n
+            within = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
+            code = buf[within + np.repeat(starts[a:b], n)]
+            short[a:b] = np.add.reduceat(_BYTE[seed][_LOWER[code] if lower else code] * power[within], first)
+    total[some] = short
     return mix(total + lens.astype(np.uint64) * _STEP[1 - seed])
 
 

@@ -148,9 +148,17 @@ def test_line_bands_find_near_lines():
     lines = [" ".join(f"{r.choice('abcdefgh')}{r.randrange(900)}" for _ in range(40)) for _ in range(60)]
     near = [x[:-6] + "zzzzzz" for x in lines]
     flat = [x.encode() for x in lines + near]
-    keys = line_minhash.bands(np.frombuffer(b"".join(flat), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in flat])]))
+    keys, words = line_minhash.signatures(*line_minhash.char_shingles(flat))
     assert all((keys[i] == keys[i + 60]).any() for i in range(60))
     assert not any((keys[i] == keys[j]).any() for i in range(60) for j in range(i))
+    sets = [{x[k : k + 8] for k in range(len(x) - 7)} for x in lines + near]
+    for i in range(120):  # a sketch never differs in more bits than the sets do
+        for j in (i, (i + 60) % 120, (i + 1) % 120):
+            apart = int(np.bitwise_count(words[i] ^ words[j]).sum())
+            assert apart <= len(sets[i] ^ sets[j]) and (j != i + 1 or apart > 100)
+    want = [100 * len(sets[i] & sets[i + 60]) >= 80 * len(sets[i] | sets[i + 60]) for i in range(60)]
+    assert line_minhash.similar(lines, near, 80).tolist() == want
+    assert line_minhash.similar(["short", "x" * 9, ""], ["short", "x" * 9, ""], 80).tolist() == [False, True, False]
 
 
 def test_qda_separates_and_survives_few_labels():
