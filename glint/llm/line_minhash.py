@@ -193,7 +193,7 @@ def dropped_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def verify(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
         at = first.join(needed, "vertex", "left_semi").groupBy("first.doc_id", "first.tag").agg(F.collect_set("first.line_no").alias("numbers"))
-        asked = docs.join(at, ["doc_id", "tag"]).select("text", "numbers")
+        asked = docs.join(scratch.sized(at), ["doc_id", "tag"]).select("text", "numbers")
         lines = scratch.write(asked.mapInArrow(_fetched, "vertex long, line string").dropDuplicates(["vertex"]))
         side = lambda k: lines.select(F.col("vertex").alias(k), F.col("line").alias(f"line_{k}"))
         found = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verifier(percent), "a long, b long"))

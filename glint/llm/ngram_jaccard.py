@@ -169,9 +169,11 @@ def groups(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80) ->
     def verify(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
         at = base.join(needed, "vertex", "left_semi").groupBy("vertex").agg(F.min(F.struct("doc_id", "tag")).alias("at"))
-        at = at.select(F.col("at.doc_id").alias("_id"), F.col("at.tag").alias("_tag"))
+        at = scratch.sized(at.select(F.col("at.doc_id").alias("_id"), F.col("at.tag").alias("_tag")))
         texts = docs.join(at, (F.col("tag") == F.col("_tag")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-        made = scratch.write(texts.mapInArrow(whole, "vertex long, grams array<long>").dropDuplicates(["vertex"]))
+        made = scratch.write(texts.mapInArrow(whole, "vertex long, grams array<long>"))
+        if made.count() > needed.count():  # rows that are equal in doc_id and text
+            made = scratch.write(made.dropDuplicates(["vertex"]))
         side = lambda k: made.select(F.col("vertex").alias(k), F.col("grams").alias(f"grams_{k}"))
         found = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(percent), "a long, b long"))
         scratch.drop(made)

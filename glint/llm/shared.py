@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +45,11 @@ class Scratch:
         self._paths[id(out)] = out, path
         return out
 
+    def sized(self, df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+        """``df``, rows of a few numbers, as a table, which is broadcast where it has ``most`` rows at most."""
+        out = self.write(df)
+        return F.broadcast(out) if out.limit(most + 1).count() <= most else out
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more. What wasn't written here is left alone."""
         for t in tables:
