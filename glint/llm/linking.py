@@ -69,7 +69,8 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_lin
     """vertex, component of all vertices that have a link.
 
     ``members``: distinct bucket and vertex, and what ``may_link``, SQL on the columns of members a and b (a_x, b_x),
-    looks at. ``verify`` takes distinct pairs (a < b) and returns a table of those that are linked.
+    looks at. ``verify`` takes distinct pairs (a < b, and hub: the one of the two that was the pivot, which many pairs
+    share) and returns a table of those that are linked.
     """
     columns = members.columns
     known = done = None
@@ -91,8 +92,8 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_lin
         pairs = named(rows, "a").join(named(other, "b"), "bucket").where(f"a_component != b_component and {may_link}")
         if turn == turns:
             pairs = pairs.where("a_vertex < b_vertex")
-        pairs = pairs.select(F.least("a_vertex", "b_vertex").alias("a"), F.greatest("a_vertex", "b_vertex").alias("b")).distinct()
-        pairs = scratch.write(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        pairs = pairs.groupBy(F.least("a_vertex", "b_vertex").alias("a"), F.greatest("a_vertex", "b_vertex").alias("b")).agg(F.max("b_vertex").alias("hub"))
+        pairs = scratch.write(pairs if done is None else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
         if turn == turns:
             scratch.drop(rows)
         if pairs.isEmpty():

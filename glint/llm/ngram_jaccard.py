@@ -174,8 +174,12 @@ def groups(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80) ->
         made = scratch.write(texts.mapInArrow(whole, "vertex long, grams array<long>"))
         if made.count() > needed.count():  # rows that are equal in doc_id and text
             made = scratch.write(made.dropDuplicates(["vertex"]))
-        side = lambda k: made.select(F.col("vertex").alias(k), F.col("grams").alias(f"grams_{k}"))
-        found = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(percent), "a long, b long"))
+        # the whole set travels for one end of each pair, to meet its hub's
+        ends = scratch.sized(pairs.select("a", "b", "hub", F.when(F.col("a") == F.col("hub"), F.col("b")).otherwise(F.col("a")).alias("vertex")))
+        hubs = scratch.sized(pairs.select(F.col("hub").alias("vertex")).distinct())
+        hubs = made.join(hubs, "vertex", "left_semi").select(F.col("vertex").alias("hub"), F.col("grams").alias("grams_b"))
+        both = made.join(ends, "vertex").select("a", "b", "hub", F.col("grams").alias("grams_a")).join(hubs, "hub")
+        found = scratch.write(both.mapInArrow(_verified(percent), "a long, b long"))
         scratch.drop(made)
         return found
 
