@@ -9,12 +9,12 @@ tokenizer only for new ones. White space between words is what both the tokenize
 agree on; the tokenizer drops it, and nothing it does to a word looks past it.
 
 Scale: tokenizing is a narrow ``mapInArrow``. Sequences are numbered without gaps: pieces are counted by bucket and by
-a hash slice of the document (a row a slice and bucket), the counts accumulated, and pieces ranked within their slice
+a hash slice of the piece (a row a slice and bucket), the counts accumulated, and pieces ranked within their slice
 and bucket. Only the pieces' few numbers are shuffled, never ids or texts; the pieces are written to the checkpoint
 folder once, so texts are tokenized once and a lost executor loses none of them.
 
-Defined results: a null or empty text is the end id alone; rows with equal doc_id are numbered apart; an empty table
-gives an empty result.
+Defined results: a null or empty text is the end id alone; rows with equal doc_id are numbered apart; texts of any
+length are packed whole; other columns, whatever their names, are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -86,36 +86,45 @@ def pieces(docs: DataFrame, longest: int = LONGEST, with_ids: bool = True, file:
     """doc_id, start, length, ids_crc32, doc_tokens and, if wanted, ids: one row a piece."""
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
-    names = ["doc_id", "_row", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END_ID], np.uint32)
         for b in batches:
-            doc_ids, row = b.column("doc_id").to_pylist(), 0
+            row = 0
             for block in token_ids(b.column("text"), file):
-                cols: list[list] = [[] for _ in names]
-                for ids in block:
-                    ids, start = np.concatenate([ids, end]), 0
-                    for n in lengths(len(ids), longest):
-                        part = ids[start : start + n].astype("<u4")
-                        for c, v in zip(cols, (doc_ids[row], 0, start, n, zlib.crc32(part.tobytes()), len(ids), part), strict=False):
-                            c.append(v)
-                        start += n
-                    row += 1
-                kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * with_ids
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-
-    schema = "doc_id long, _row long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema).drop("_row")
+                sizes = np.array([len(ids) + 1 for ids in block], np.int64)
+                parts = [lengths(n, longest) for n in sizes.tolist()]
+                count = np.array([len(x) for x in parts], np.int64)
+                length = np.array([n for x in parts for n in x], np.int64)
+                at = np.cumsum(length)
+                of = np.repeat(np.arange(len(block)), count)
+                start = at - length - np.repeat(np.cumsum(sizes) - sizes, count)
+                flat = np.concatenate([x for ids in block for x in (ids, end)]).astype("<u4")
+                raw = memoryview(flat).cast("B")
+                crc = [zlib.crc32(raw[4 * (b - n) : 4 * b]) for b, n in zip(at.tolist(), length.tolist(), strict=True)]
+                out = [b.column("doc_id").take(pa.array(of + row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(sizes[of])]
+                if with_ids:
+                    out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], at]), pa.int32()), pa.array(flat.astype(np.int64))))
+                row += len(block)
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def pack(found: DataFrame) -> DataFrame:
     """Adds sequence_id, from 0 without gaps, shorter sequences first, and offset (0). ``found`` must be cheap to read twice."""
     n = found.count()
-    d = found.withColumn("_slice", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SLICE_ROWS))))
+    d = found.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(max(1, n // SLICE_ROWS))))
     counts = d.groupBy("length", "_slice").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("length", "_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(F.col("length").alias("_l"), F.col("_slice").alias("_s"), before.alias("_before"))
+    # a window over the lengths' totals, which are few, and one in each length
+    totals = counts.groupBy(F.col("length").alias("_l")).agg(F.sum("count").alias("_n"))
+    up = Window.unboundedPreceding
+    totals = totals.select("_l", F.coalesce(F.sum("_n").over(Window.orderBy("_l").rowsBetween(up, -1)), F.lit(0)).alias("_shorter"))
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("_slice").rowsBetween(up, -1)), F.lit(0))
+    counts = counts.withColumn("_b", before).join(totals, F.col("length") == F.col("_l"))
+    counts = counts.select("_l", F.col("_slice").alias("_s"), (F.col("_b") + F.col("_shorter")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("length", "_slice").orderBy("doc_id", "start", "ids_crc32")) - 1
     d = d.withColumn("_rank", rank).join(counts, (F.col("length") == F.col("_l")) & (F.col("_slice") == F.col("_s")))
     return d.withColumn("sequence_id", (F.col("_before") + F.col("_rank")).cast("long")).withColumn("offset", F.lit(0).cast("long")).drop("_slice", "_l", "_s", "_before", "_rank")

@@ -174,8 +174,7 @@ class Seen:
             self.make([raw[starts[i] : ends[i]] for i in at[new]])
             rows[new] = np.arange(self.size, self.size + len(new))
             self.size += len(new)
-            keys = np.concatenate([self.keys, key[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.second = keys[order], np.concatenate([self.second, g[at][new]])[order]
-            self.rows = np.concatenate([self.rows, rows[new]])[order]
+            self.keys = np.insert(self.keys, pos[new], key[new])
+            self.second = np.insert(self.second, pos[new], g[at][new])
+            self.rows = np.insert(self.rows, pos[new], rows[new])
         return rows[inverse]
