@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-A document's exponential key is -ln(u) / weight, with u from a digest of its id and the weight from its text. The
+A document's exponential key is -ln(u) / weight, with u from a digest of its id and size and the weight from its text. The
 smallest keys are a weighted sample without replacement. A source's target is met by complete epochs over all its
 documents first; what remains is a budget that the documents fill in the order of their keys (a running sum of sizes),
 the last one in part.
@@ -11,7 +11,7 @@ are accumulated, and a window runs within a slice only. What is shuffled is an i
 it is DataFrame functions.
 
 Defined results: a null text has size 0; null sources are a source of their own, last in order; a document of size 0
-takes 0; rows with equal ids get equal keys, and rows equal in all columns share what they take in any order; an empty
+takes 0; rows with equal ids and sizes get equal keys, and rows equal in all columns share what they take in any order; an empty
 table gives an empty result.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glint.llm.shared import Scratch
+from glint.llm.shared import Scratch, fresh
 
 #: Rows of a slice, about.
 SLICE_ROWS = 20_000
@@ -46,9 +46,10 @@ def quality_weight(text: Column) -> Column:
     return 1 + F.floor(1000 * lower / F.greatest(F.length(text), F.lit(1))) / 1000
 
 
-def uniform(doc_id: Column) -> Column:
-    """In (0, 1), from the first 48 bits of the MD5 of the id as text."""
-    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 12)
+def uniform(doc_id: Column, size: Column) -> Column:
+    """In (0, 1), from the first 48 bits of the MD5 of the id and the size as text: rows without an id don't share a key."""
+    named = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), size.cast("string"))
+    digits = F.substring(F.md5(named.cast("binary")), 1, 12)
     return (F.conv(digits, 16, 10).cast("long") + 1) / F.lit(float((1 << 48) + 2))
 
 
@@ -78,7 +79,7 @@ def mix(sized: DataFrame) -> DataFrame:
 
     The number of sources is what the plan sorts in one task and joins back; that is a row a source.
     """
-    d = sized.withColumn("_key", -F.log(uniform(F.col("doc_id"))) / F.col("weight"))
+    d = sized.withColumn("_key", -F.log(uniform(F.col("doc_id"), F.col("size"))) / F.col("weight"))
     per = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"), F.avg("weight").alias("_w"))
     goal = targets(per.select("source", "source_size"))
     goal = goal.join(per.select(F.col("source").alias("_s"), "_rows", "_w"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -106,43 +107,35 @@ def op6_mixing_es(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(Scratch(spark).write(sized)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def _same(*columns: str) -> Column:
-    """Equality of columns of d and t, null like null; ids first, so that they are what is joined on."""
-    out = F.col(f"d.{columns[0]}").eqNullSafe(F.col(f"t.{columns[0]}"))
-    for c in columns[1:]:
-        out &= F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}"))
-    return out
-
-
 def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it; the last copy may be cut at a word's end.
 
-    Rows that are equal in id, source and text count once in the mix, and each is then taken as often as that one.
+    Rows that are equal in id, source and text count once in the mix, and each is then taken as often as that one. All
+    columns stay, whatever their names; n_chars follows the text; documents without words go, and an empty table stays.
+    The weight comes from the text: a stage hands on the columns of documents only, so no earlier score arrives here.
     """
-    has = [c for c in docs.columns if c in _COLUMNS]
-    slim = docs.select("doc_id", "source", words(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("weight"), F.xxhash64("text").alias("_h"))
-    taken = mix(Scratch(spark).write(slim.distinct())).where("taken > 0")
-    d = docs.withColumn("_h", F.xxhash64("text")).alias("d").join(taken.select("doc_id", "source", "_h", "size", "taken").alias("t"), _same("doc_id", "source", "_h"))
-    d = d.select("d.*", "t.size", "t.taken")
-    whole = F.floor(F.col("taken") / F.col("size"))
-    part = F.pmod("taken", "size")
+    tag, size, taken, part = fresh(docs, "tag", "size", "taken", "part")
+    slim = docs.select("doc_id", "source", words(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("weight"), F.xxhash64("text").alias("tag"))
+    t = mix(Scratch(spark).write(slim.distinct())).where("taken > 0")
+    t = t.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tag").alias("_t"), F.col("size").alias(size), F.col("taken").alias(taken))
+    same = F.col("d.doc_id").eqNullSafe(F.col("t._id")) & F.col(f"d.{tag}").eqNullSafe(F.col("t._t")) & F.col("d.source").eqNullSafe(F.col("t._source"))
+    d = docs.withColumn(tag, F.xxhash64("text")).alias("d").join(t.alias("t"), same).select("d.*", f"t.{size}", f"t.{taken}")
+    whole, rest = F.floor(F.col(taken) / F.col(size)), F.pmod(taken, size)
     copies = F.array_repeat(F.lit(None).cast("long"), whole.cast("int"))
-    copies = F.when(part > 0, F.concat(copies, F.array(part))).otherwise(copies)
-    d = d.withColumn("_part", F.explode(copies))
+    d = d.withColumn(part, F.explode(F.when(rest > 0, F.concat(copies, F.array(rest))).otherwise(copies)))
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("_part").isNull(), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("_part").cast("int")), ""))
-    d = d.withColumn("text", text)
-    return d.withColumn("n_chars", F.length("text").cast("long")).select(*has)
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col(part).cast("int")), "")
+    d = d.withColumn("text", F.when(F.col(part).isNull(), F.col("text")).otherwise(cut))
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return d.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          1 + floor(1000 * (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[a-z]', '', 'g'))) / greatest(length(coalesce(text, '')), 1)) / 1000 AS weight,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT + 1) / 281474976710658.0::DOUBLE AS u
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR), 1, 12))::BIGINT + 1) / 281474976710658.0::DOUBLE AS u
   FROM documents),
 k AS (SELECT *, -ln(u) / weight AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
