@@ -119,10 +119,12 @@ def context(text: Column, start: Column, end: Column, width: int = 120) -> Colum
 
 # Suffixes of two labels under which names are registered.
 TWO_LABEL_SUFFIXES = (
-    "co.uk org.uk gov.uk ac.uk me.uk net.uk sch.uk com.au net.au org.au edu.au gov.au co.nz net.nz org.nz govt.nz "
-    "com.bd net.bd org.bd edu.bd gov.bd ac.bd mil.bd co.in net.in org.in gen.in firm.in ind.in com.br net.br org.br gov.br "
-    "com.sg com.my com.pk com.np com.lk com.cn com.hk co.jp or.jp ne.jp co.kr co.za co.id co.th"
-).split()
+    "co.uk", "org.uk", "gov.uk", "ac.uk", "me.uk", "net.uk", "sch.uk", "com.au", "net.au", "org.au",
+    "edu.au", "gov.au", "co.nz", "net.nz", "org.nz", "govt.nz", "com.bd", "net.bd", "org.bd", "edu.bd",
+    "gov.bd", "ac.bd", "mil.bd", "co.in", "net.in", "org.in", "gen.in", "firm.in", "ind.in", "com.br",
+    "net.br", "org.br", "gov.br", "com.sg", "com.my", "com.pk", "com.np", "com.lk", "com.cn", "com.hk",
+    "co.jp", "or.jp", "ne.jp", "co.kr", "co.za", "co.id", "co.th",
+)
 
 
 def host_of(url: Column) -> Column:
@@ -144,7 +146,7 @@ def registrable_domain(host: Column) -> Column:
     h = F.regexp_replace(F.lower(F.trim(host)), r"\.+$", "")
     parts = F.split(h, r"\.")
     last = lambda n: F.array_join(F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), F.lit(n)), ".")
-    return F.when(~is_ip(h) & (F.size(parts) >= 2), F.when(last(2).isin(TWO_LABEL_SUFFIXES) & (F.size(parts) >= 3), last(3)).otherwise(last(2)))
+    return F.when(~is_ip(h) & (F.size(parts) >= 2), F.when(last(2).isin(*TWO_LABEL_SUFFIXES) & (F.size(parts) >= 3), last(3)).otherwise(last(2)))
 
 
 def site_domain(host: Column) -> Column:

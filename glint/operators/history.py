@@ -33,19 +33,37 @@ def delta(current: DataFrame, previous: DataFrame, by: str = "target_url", guard
     one = lambda d, side: d.where("fingerprint is not null").groupBy(by, "fingerprint").agg(F.lit(True).alias(side))
     d = one(current, "_c").join(one(previous, "_p"), [by, "fingerprint"], "full")
     if guard is not None:
-        fine = F.col("status").isin("complete", "clean") & ((F.col("before") <= 0) | (F.col("now") >= LEAST_COVERAGE * F.col("before")))
-        d = d.join(guard.select(by, fine.alias("_ok")), by, "left")
+        d = d.join(guard.select(by, _conclusive().alias("_ok")), by, "left")
     ok = F.coalesce("_ok", F.lit(False)) if guard is not None else F.lit(True)
     change = F.when(F.col("_p").isNull(), "new").when(F.col("_c").isNotNull(), "recurring").when(ok, "resolved").otherwise("unverified")
     return d.select(by, "fingerprint", change.alias("change"))
 
 
-def tier(changes: DataFrame, by: str = "target_url") -> DataFrame:
-    """URGENT, REVIEW or ROUTINE for each target, from rows with change, severity and verified."""
+def tier(changes: DataFrame, by: str = "target_url", guard: DataFrame | None = None) -> DataFrame:
+    """URGENT, REVIEW or ROUTINE for each target and the reasons, from rows with change, severity, verified and, if there, kind.
+
+    ``guard``: as of ``delta``; a target whose scan failed or covered too little is REVIEW even if nothing is new or
+    gone. Targets that only the guard has count too.
+    """
     new = F.col("change") == "new"
-    grave = new & ((F.col("verified") == "verified") | F.lower("severity").isin("critical", "high"))
-    d = changes.groupBy(by).agg(F.count_if(new).alias("n_new"), F.count_if(F.col("change") == "resolved").alias("n_resolved"), F.count_if(F.col("change") == "recurring").alias("n_recurring"), F.count_if(F.col("change") == "unverified").alias("n_unverified"), F.count_if(grave).alias("n_grave"))
-    return d.withColumn("tier", F.when(F.col("n_grave") > 0, "URGENT").when((F.col("n_unverified") > 0) | (F.col("n_new") > 0), "REVIEW").otherwise("ROUTINE"))
+    kind = F.col("kind") if "kind" in changes.columns else F.lit("unknown")
+    live, grave = F.col("verified").eqNullSafe("verified"), F.lower("severity").isin("critical", "high")
+    reason = F.when(new & live, F.concat(F.lit("live: "), kind)).when(new & grave, F.concat(F.lower("severity"), F.lit(": "), kind))
+    count = lambda c: F.count_if(F.col("change") == c).alias(f"n_{c}")
+    d = changes.groupBy(by).agg(*map(count, ("new", "resolved", "recurring", "unverified")), F.count(reason).alias("n_grave"), F.array_sort(F.collect_set(reason)).alias("_why"))
+    sure = F.col("n_unverified") == 0
+    if guard is not None:
+        d = d.join(guard.select(by, _conclusive().alias("_ok")), by, "full").fillna(0)
+        sure = sure & F.coalesce("_ok", F.lit(False))
+    below = F.concat(F.col("n_new").cast("string"), F.lit(" new below the urgent bar"))
+    d = d.withColumn("tier", F.when(F.col("n_grave") > 0, "URGENT").when(~sure | (F.col("n_new") > 0), "REVIEW").otherwise("ROUTINE"))
+    why = F.when(F.col("n_grave") > 0, F.array_join("_why", "; ")).when(~sure, "coverage anomaly").when(F.col("n_new") > 0, below).otherwise("")
+    return d.withColumn("reasons", why).drop("_why", "_ok")
+
+
+def _conclusive() -> Column:
+    """Whether a scan ended well and covered enough to tell what has gone."""
+    return F.col("status").isin("complete", "clean") & ((F.col("before") <= 0) | (F.col("now") >= LEAST_COVERAGE * F.col("before")))
 
 
 def retain(scans: DataFrame, keep: int = KEEP_SCANS) -> DataFrame:

@@ -101,13 +101,18 @@ def public_hosts(addresses: DataFrame) -> DataFrame:
 
 
 def host_matches(host: Column, pattern: Column) -> Column:
-    """The pattern is the host, *.base above it (not base itself), or a block of IPv4 addresses that it is in."""
+    """The pattern is the host, *.base above it (not base itself), or a block of IPv4 addresses that it is in.
+
+    Letters' case, white space around, and dots at the end of either don't matter; empty ones match nothing.
+    """
+    host, pattern = (F.lower(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"\.+$", "")) for c in (host, pattern))
     block = pattern.rlike(r"\A\d{1,3}(\.\d{1,3}){3}/\d{1,2}\z")
     bits = F.least(F.coalesce(F.try_element_at(F.split(pattern, "/"), F.lit(2)).try_cast("int"), F.lit(32)), F.lit(32))
     size = F.pow(F.lit(2.0), 32 - bits).cast("bigint")
     at = lambda c: F.floor(C.ipv4_number(c) / size)
     inside = F.coalesce(at(host) == at(F.split(pattern, "/")[0]), F.lit(False))
-    return F.when(block, inside).when(pattern.startswith("*."), host.endswith(F.substring(pattern, F.lit(2), F.length(pattern)))).otherwise(host == F.lower(pattern))
+    below = host.endswith(F.substring(pattern, F.lit(2), F.length(pattern))) & (F.length(pattern) > 2)
+    return (host != "") & F.when(block, inside).when(pattern.startswith("*."), below).otherwise(host == pattern)
 
 
 def authorize(targets: DataFrame, grants: DataFrame, today: str) -> DataFrame:

@@ -17,6 +17,7 @@ def masked(found: DataFrame, value: str = "value", snippet: str = "context_snipp
     d = found
     if snippet in d.columns:  # a source's findings are bounded by the cap on raw findings
         near = F.collect_set(value).over(Window.partitionBy("source_url"))
+        near = F.array_sort(near, lambda a, b: F.length(b) - F.length(a))  # a value within another goes after it
         d = d.withColumn("_near", near).withColumn(snippet, F.aggregate("_near", F.col(snippet), lambda acc, v: C.redact_snippet(acc, v))).drop("_near")
     return d.withColumn(value, C.mask(F.col(value)))
 

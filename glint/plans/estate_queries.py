@@ -76,7 +76,8 @@ def q_delta_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     "q_delta_tier",
     f"""{_DELTA}, v AS (SELECT *, CASE WHEN fingerprint::BIGINT % 50 = 1 THEN 'CRITICAL' ELSE 'LOW' END AS severity FROM d),
 t AS (SELECT target_url, count(*) FILTER (change = 'new') AS n_new, count(*) FILTER (change = 'resolved') AS n_resolved, count(*) FILTER (change = 'recurring') AS n_recurring, count(*) FILTER (change = 'unverified') AS n_unverified, count(*) FILTER (change = 'new' AND severity = 'CRITICAL') AS n_grave FROM v GROUP BY target_url)
-SELECT *, CASE WHEN n_grave > 0 THEN 'URGENT' WHEN n_unverified > 0 OR n_new > 0 THEN 'REVIEW' ELSE 'ROUTINE' END AS tier FROM t""",
+SELECT *, CASE WHEN n_grave > 0 THEN 'URGENT' WHEN n_unverified > 0 OR n_new > 0 THEN 'REVIEW' ELSE 'ROUTINE' END AS tier,
+  CASE WHEN n_grave > 0 THEN 'critical: unknown' WHEN n_unverified > 0 THEN 'coverage anomaly' WHEN n_new > 0 THEN n_new || ' new below the urgent bar' ELSE '' END AS reasons FROM t""",
 )
 def q_delta_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _delta(spark, sf_dir).withColumns({"severity": F.when(F.col("fingerprint").cast("long") % 50 == 1, "CRITICAL").otherwise("LOW"), "verified": F.lit("")})

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # Kinds of content that are read, and the most characters of a body.
 SCANNABLE = (
-    "application/javascript application/x-javascript application/ecmascript application/json application/manifest+json application/ld+json "
-    "application/xml application/xhtml+xml application/wasm+json image/svg+xml application/octet-stream"
-).split()
+    "application/javascript", "application/x-javascript", "text/javascript", "application/json", "application/manifest+json", "application/ld+json",
+    "application/xml", "application/xhtml+xml", "image/svg+xml", "application/octet-stream", "",
+)
 MOST_CHARS = 5 * 1024 * 1024
 
 
@@ -22,7 +22,7 @@ def scannable(responses: DataFrame) -> DataFrame:
     """Responses whose content_type is text (or unknown) and whose declared length isn't over the limit."""
     kind = F.lower(F.trim(F.split(F.coalesce("content_type", F.lit("")), ";")[0]))
     small = F.coalesce(F.col("content_length").try_cast("long"), F.lit(0)) <= MOST_CHARS
-    return responses.where(((kind == "") | kind.startswith("text/") | kind.isin(SCANNABLE)) & small)
+    return responses.where((kind.startswith("text/") | kind.isin(*SCANNABLE)) & small)
 
 
 def roster(spark: SparkSession, path: str) -> DataFrame:

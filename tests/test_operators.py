@@ -25,7 +25,7 @@ def test_scope(spark, host, base, want):
 
 
 def test_host_patterns(spark):
-    cases = [("a.b.com", "*.b.com", True), ("b.com", "*.b.com", False), ("b.com", "B.com", True), ("10.1.2.3", "10.1.0.0/16", True), ("10.2.2.3", "10.1.0.0/16", False), ("x.com", "10.0.0.0/8", False)]
+    cases = [("a.b.com", "*.b.com", True), ("b.com", "*.b.com", False), ("b.com", "B.com", True), ("10.1.2.3", "10.1.0.0/16", True), ("10.2.2.3", "10.1.0.0/16", False), ("x.com", "10.0.0.0/8", False), ("a.b.com", "*.B.com.", True), ("A.B.com.", "*.b.com", True), ("b.com", "*.", False), ("", "", False)]
     d = spark.createDataFrame(cases, "h string, p string, w boolean")
     assert all(r.g == r.w for r in d.withColumn("g", hosts.host_matches(F.col("h"), F.col("p"))).collect())
 
@@ -39,13 +39,14 @@ def test_comments_go_but_strings_stay():
     code = "a = 'http://x'; // gone\nb = /[/]\\/\\/x/; /* gone\ntoo */ c = 4 / 2 // x\n`//in`"
     out = surface._strip_comments(code)
     assert len(out) == len(code) and out.count("\n") == code.count("\n")
-    assert "gone" not in out and "http://x" in out and "/[/]\\/\\/x/" in out and "`//in`" in out
+    assert "gone" not in out and "http://x" in out and "`//in`" in out and "c = 4 / 2" in out
+    assert "/[/]" not in out  # a regular expression is blanked: its slashes read like an address
 
 
 def test_links_of_a_page(spark):
-    html = '<a href="/a#x">1</a><a href=\'b/../c.html\'>2</a><a href="mailto:x@y.z">3</a><a href="https://other.net/">4</a><a href="/s.css">5</a><a href="/a">6</a>'
+    html = '<a href="/a#x">1</a><a href=\'b/../c.html\'>2</a><a href="mailto:x@y.z">3</a><a href="https://other.net/">4</a><a href="/s.css">5</a><a href="/a">6</a><a href="/f.rss">7</a><a href="/x.js">8</a><a href="/t.TAR">9</a>'
     d = spark.createDataFrame([("https://www.h.com/d/", html)], "url string, html string")
-    assert sorted(r.link for r in surface.page_links(d).collect()) == ["https://www.h.com/a", "https://www.h.com/d/c.html"]
+    assert sorted(r.link for r in surface.page_links(d).collect()) == ["https://www.h.com/a", "https://www.h.com/d/c.html", "https://www.h.com/x.js"]
 
 
 def test_contacts(spark):
@@ -101,3 +102,28 @@ def test_streams(spark, tmp_path):
     q.stop()
     rows = spark.table("seen").collect()
     assert len(rows) == 1 and token not in str(rows)
+
+
+def test_source_maps_of_scripts(spark):
+    body = "//# sourceMappingURL = a.map\n/*@ sourceMappingURL=/b.map */\nx = '#sourceMappingURL=zz';\n//# sourceMappingURL=data:x\n//# sourceMappingURL=https://cdn.net/c.map"
+    d = spark.createDataFrame([("https://h.com/js/a.js", body)], "source_url string, body string")
+    got = {(r.map, r.in_scope) for r in surface.sourcemap_urls(d).collect()}
+    assert got == {("https://h.com/js/a.map", True), ("https://h.com/b.map", True), ("https://cdn.net/c.map", False)}
+
+
+def test_endpoints_of_a_script(spark):
+    body = "f('/-b/c'); g(\"/a/v1?x={id}\"); h = 'https://api.h.com/{tenant}/y'; // https://gone.com/\ni = '//cdn.net/z'; j = '//bad'"
+    d = spark.createDataFrame([("https://h.com/a.js", body)], "source_url string, body string")
+    got = {r.endpoint: r.in_scope for r in surface.endpoints(d).collect()}
+    assert got == {"https://h.com/-b/c": True, "https://h.com/a/v1?x={id}": True, "https://api.h.com/": True, "https://cdn.net/z": False}
+    assert {r.endpoint for r in surface.endpoints(d, most=1).collect()} == {"https://api.h.com/"}
+
+
+def test_tiers_and_reasons(spark):
+    rows = [("a", "new", "low", "verified"), ("b", "new", "high", None), ("c", "new", "low", ""), ("d", "recurring", "high", "verified")]
+    guard = [(t, "complete", 9, 10) for t in "abcd"] + [("e", "failed", 0, 10), ("f", "clean", 10, 10), ("g", "complete", 1, 10)]
+    d = spark.createDataFrame(rows, "target_url string, change string, severity string, verified string")
+    g = spark.createDataFrame(guard, "target_url string, status string, now long, before long")
+    got = {r.target_url: (r.tier, r.reasons) for r in history.tier(d, guard=g).collect()}
+    assert got["a"] == ("URGENT", "live: unknown") and got["b"] == ("URGENT", "high: unknown") and got["c"] == ("REVIEW", "1 new below the urgent bar")
+    assert got["d"] == got["f"] == ("ROUTINE", "") and got["e"] == got["g"] == ("REVIEW", "coverage anomaly")
