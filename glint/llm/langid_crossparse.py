@@ -6,14 +6,16 @@ the next begins. The fewer phrases a language needs for its size (phrases times
 character: an estimate of cross entropy), the better it explains the text; the least wins.
 
 The automaton's transitions lie in one integer array, a missing one leading to where the next phrase begins, marked by
-its sign. All runs of all texts of a batch take a step together, as numpy gathers. Texts are parsed whole, in runs of
-at most ``RUN`` characters (a run's end ends a phrase, alike in every language).
+its sign. Each language has its own alphabet, all letters of its training text; a letter that it lacks is a phrase. All
+runs of all texts of a batch take a step together, as numpy gathers. Texts are parsed whole, in runs of at most ``RUN``
+characters (a run's end ends a phrase, alike in every language).
 
 Scale: what is learned is bounded by ``TRAIN_CHARS`` per language, so the model broadcast in the task closure is too;
 prediction is a narrow ``mapInArrow`` without a shuffle.
 
 Defined results: a null or empty text, and one without letters, is ``und`` with score 0; without any learned language
-every text is ``und``. Ties go to the language that sorts first. Repeated rows get equal results.
+every text is ``und``. Ties go to the language that sorts first. Repeated rows get equal results; texts of any length
+are parsed whole; other columns, whatever their names, are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ from glint.llm.textarrays import blocks, starts_of_codepoints
 
 #: Characters learned from per language, at most, and texts that they are taken from (about).
 TRAIN_CHARS, TRAIN_TEXTS = 40_000, 400
-#: Characters of a run, and symbols that are told apart (the rest are one).
-RUN, ALPHABET = 512, 64
+#: Characters of a run, and transitions of a language's automaton, about, at most: where an alphabet is large, less text
+#: is learned, but all its letters are told apart.
+RUN, CELLS = 512, 8_000_000
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -65,44 +68,53 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return step
 
 
+def learnable(text: str) -> str:
+    """The beginning of a training text whose automaton has about CELLS transitions at most."""
+    letters: set[str] = set()
+    for i, c in enumerate(text):
+        if c.isalpha():
+            letters.add(c)
+        if 2 * (i + 1) * (len(letters) + 2) > CELLS:
+            return text[:i]
+    return text
+
+
 class Model:
     """The languages' automata in one array. ``texts``: (language, training text), sorted by language."""
 
     def __init__(self, texts: tuple[tuple[str, str], ...]):
         self.langs = [k for k, _ in texts]
-        folded = [t.lower() for _, t in texts]
-        counts: dict[str, int] = {}
-        for t in folded:
-            for c in t:
-                counts[c] = counts.get(c, 0) + 1
-        letters = sorted((c for c in counts if c.isalpha()), key=lambda c: (-counts[c], c))[: ALPHABET - 2]
-        code = {c: i + 2 for i, c in enumerate(letters)}  # 1: what is no letter; 0: letters that were not learned
-        self.code = np.ones(0x110000, np.uint8)
+        folded = [learnable(t.lower()) for _, t in texts]
+        alphabets = [sorted({c for c in t if c.isalpha()}) for t in folded]
+        index = {c: i + 2 for i, c in enumerate(sorted({c for a in alphabets for c in a}))}  # 1: what is no letter; 0: letters that nothing taught
         self.letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-        self.code[self.letter] = 0
-        for c, i in code.items():
-            self.code[ord(c)] = i
+        self.index = np.where(self.letter, 0, 1).astype(np.int32)
+        for c, i in index.items():
+            self.index[ord(c)] = i
             if len(c.upper()) == 1:
-                self.code[ord(c.upper())] = i
+                self.index[ord(c.upper())] = i
+        self.codes = np.zeros((len(folded), len(index) + 2), np.int32)  # a language's own code of each letter; 0: it has none
         table, self.root, self.weight, base = [], [], [], 0
-        for t in folded:
-            learned = self.code[np.frombuffer(t.encode("utf-32-le"), np.uint32)]
+        for k, (t, alphabet) in enumerate(zip(folded, alphabets, strict=True)):
+            self.codes[k, 1] = 1
+            self.codes[k, [index[c] for c in alphabet]] = np.arange(len(alphabet)) + 2
+            learned, width = self.codes[k, self.index[np.frombuffer(t.encode("utf-32-le"), np.uint32)]], len(alphabet) + 2
             steps = suffix_automaton([int(x) for x in learned if x])
-            rows = np.full((len(steps), ALPHABET), -1, np.int64)
+            rows = np.full((len(steps), width), -1, np.int64)
             for s, moves in enumerate(steps):
                 for c, to in moves.items():
-                    rows[s, c] = base + to * ALPHABET
+                    rows[s, c] = base + to * width
             begin = np.where(rows[0] >= 0, rows[0], base)
-            table.append(np.where(rows >= 0, rows, ~begin))  # a phrase ends, and the next begins with this symbol
+            table.append(np.where(rows >= 0, rows, ~begin).astype(np.int32).ravel())  # a phrase ends, and the next begins with this symbol
             self.root.append(base)
             self.weight.append(float(np.log2(max(len(learned), 2))))
-            base += len(steps) * ALPHABET
-        self.table = np.concatenate(table).ravel().astype(np.int32) if table else np.zeros(0, np.int32)
+            base += len(steps) * width
+        self.table = np.concatenate(table) if table else np.zeros(0, np.int32)
 
     def parse(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Normalised phrases of each text in each language, and each text's letters."""
         n, k = len(offsets) - 1, len(self.langs)
-        codes = self.code[points]
+        codes = self.codes[:, self.index[points]]
         size = np.diff(offsets)
         total = np.concatenate([[0], np.cumsum(self.letter[points])])
         letters = total[offsets[1:]] - total[offsets[:-1]]
@@ -117,7 +129,7 @@ class Model:
         live = np.searchsorted(-length, -np.arange(RUN), "left")  # runs longer than j come first
         for j in range(int(length[0]) if len(length) else 0):
             m = live[j]
-            to = self.table[state[:, :m] + codes[begin[:m] + j]]
+            to = self.table[state[:, :m] + codes[:, begin[:m] + j]]
             ended = to >> 31
             phrases[:, :m] -= ended
             state[:, :m] = to ^ ended

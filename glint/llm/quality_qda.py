@@ -10,7 +10,8 @@ thing broadcast (a proven bound); scoring is a narrow ``mapInArrow``, without a
 labels of missing documents are left out; of several labels for a document the lowest counts.
 
 Defined results: a null or empty text has no words and is scored as the smoothing mean; rows that repeat get equal
-scores; with labels of fewer than two classes every score is the share of class 1 (0.5 without labels).
+scores; texts of any length are read whole; ``score`` and ``keep_quality`` keep all columns, whatever their names; an
+empty table gives an empty result; with labels of fewer than two classes every score is the share of class 1 (0.5 without labels).
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from glint.llm.folds import bounded_sample, crc_fold
+from glint.llm.shared import fresh
 from glint.llm.textarrays import blocks, hashes, shingles, spans
 
 #: Labelled rows of each class that the model is fitted on, at most (about).
@@ -151,24 +154,24 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Qda:
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = F.broadcast(bounded_sample(known, "doc_id", most, "label"))  # about 2 * most rows
     got = docs.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(_counts, "doc_id long, label int, counts array<double>")
-    rows = got.toPandas().sort_values("doc_id", kind="stable")
+    rows = got.dropDuplicates(["doc_id", "counts"]).toPandas().sort_values("doc_id", kind="stable")
     counts = np.stack(rows["counts"].to_list()) if len(rows) else np.zeros((0, 2 * len(FEATURES)))
     n = sum(totals.values())
     prior = (totals.get(1, 0) + 0.5) / (n + 1) if len(totals) == 2 else None
     return fit(counts, rows["label"].to_numpy(int), prior)
 
 
-def score(docs: DataFrame, model: Qda) -> DataFrame:
-    """The documents' columns and ``quality_score``, which replaces a column of that name."""
-    docs = docs.drop("quality_score")
-    fields = docs.schema.simpleString()[7:-1]
+def score(docs: DataFrame, model: Qda, name: str = "quality_score") -> DataFrame:
+    """The documents' columns and a score, whose ``name`` must be new."""
+    if name in docs.columns:
+        raise ValueError(f"docs has a column {name}; pass another name for the score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = model.score(statistics(b.column("text")))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, f"{fields},quality_score:double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def _learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,6 +203,7 @@ def _scored(docs: DataFrame, model: Qda) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.5) -> DataFrame:
     """Pipeline stage: the documents that score ``threshold`` or more, with their columns."""
     model = train(docs, _learnable(spark, sf_dir))
-    return score(docs, model).where(F.col("quality_score") >= threshold).drop("quality_score")
+    (name,) = fresh(docs, "score")
+    return score(docs, model, name).where(F.col(name) >= threshold).drop(name)
 
 

@@ -3,7 +3,8 @@
 All rules are compiled into a single minimal automaton of transition arrays (``regexdfa``), and each text is read once,
 byte by byte, whatever the number of rules. Where the automaton accepts, the rule's reversed automaton walks back to
 the leftmost start after that rule's previous match, and its anchored automaton walks on to the longest end; both touch
-only the bytes of the match. Matches of a rule don't overlap; matches of different rules may.
+only the bytes of the match. A rule whose walks on end in vain is looked for backwards once in such a text, so hostile texts
+take linear time too. Matches of a rule don't overlap; matches of different rules may.
 
 Nothing is shuffled: the scan is a narrow ``mapInArrow`` that streams batches, so memory is a batch and the tables
 (some hundred KB), and a lost executor costs only its own partitions.
@@ -62,6 +63,10 @@ MORE_RULES = (
 )
 
 
+#: Bytes of a walk in vain after which a rule's beginnings are found for the whole text, so that time stays linear.
+FAR = 256
+
+
 class Scanner:
     """The rules' automata; ``spans`` gives (rule number, start byte, end byte) of all matches in a text's bytes."""
 
@@ -73,22 +78,24 @@ class Scanner:
         self.back = [compile_rules([p], [f], search=False, backward=True) for p, f in zip(probes, fold, strict=True)]
         self.ahead = [compile_rules([r.pattern], [r.fold], search=False) for r in rules]
         self.keep = [re.compile(r.keep.encode()) if r.keep else None for r in rules]
+        self.begin: list[Dfa | None] = [None] * len(rules)  # made when first needed
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """Sorted by start, then by rule."""
         table, first = self.all.next, self.all.first_final
         state, found, last = self.all.start, [], [0] * len(self.rules)
+        begins: dict[int, bytearray] = {}
         for p, b in enumerate(data):
             state = table[state][b]
             if state >= first:
                 for k in self.all.rules[state]:
-                    if p >= last[k] and (got := self._exact(k, data, p, last[k])):
+                    if p >= last[k] and (got := self._exact(k, data, p, last[k], begins)):
                         last[k] = got[1]
                         if self.keep[k] is None or self.keep[k].fullmatch(data, *got):
                             found.append((k, *got))
         return sorted(found, key=lambda x: (x[1], x[0]))
 
-    def _exact(self, k: int, data: bytes, p: int, floor: int) -> tuple[int, int] | None:
+    def _exact(self, k: int, data: bytes, p: int, floor: int, begins: dict[int, bytearray]) -> tuple[int, int] | None:
         dfa, begin = self.back[k], -1
         state, i = dfa.start, p
         while i >= floor:
@@ -98,7 +105,7 @@ class Scanner:
             if state >= dfa.first_final:
                 begin = i
             i -= 1
-        if begin < 0:
+        if begin < 0 or k in begins and not begins[k][begin]:
             return None
         dfa, end = self.ahead[k], -1
         state = dfa.start
@@ -108,8 +115,21 @@ class Scanner:
                 break
             if state >= dfa.first_final:
                 end = i + 1
+        if end < 0 and i - begin > FAR:  # no second walk like it: find all places where a match begins, in one pass
+            begins[k] = self._begins(k, data)
         return (begin, end) if end > 0 else None
 
+    def _begins(self, k: int, data: bytes) -> bytearray:
+        """1 at each byte where some match of the rule begins, by its reversed automaton from the end of the text."""
+        if self.begin[k] is None:
+            self.begin[k] = compile_rules([self.rules[k].pattern], [self.rules[k].fold], search=True, backward=True)
+        table, first, state = self.begin[k].next, self.begin[k].first_final, self.begin[k].start
+        out = bytearray(len(data))
+        for i in range(len(data) - 1, -1, -1):
+            state = table[state][data[i]]
+            out[i] = state >= first
+        return out
+
 
 def codepoint_offsets(data: bytes) -> np.ndarray:
     """For each byte offset, the end included, the number of code points before it."""

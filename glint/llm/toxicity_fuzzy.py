@@ -14,7 +14,8 @@ by Spark, and only terms that pass the thresholds (``TERMS`` at most) reach the
 ``mapInArrow`` without a shuffle; each Python worker keeps the words it has met, in bounded memory.
 
 Defined results: null and empty texts have no hits and get the score of such documents; repeated rows get equal
-scores; without labels of both classes the score is the share of class 1 (0 without labels).
+scores; without labels of both classes the score is the share of class 1 (0 without labels); texts of any length are read whole;
+other columns, whatever their names, are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ SAMPLE, TERMS = 3000, 500
 LEAST_DOCS, LEAST_RATE, LEAST_SHARE = 4, 0.03, 0.97
 #: Lengths of stems, and the different words that a stem begins at least.
 STEM_LENGTHS, STEM_WORDS = range(3, 9), 6
-#: Words to either side of a hit that are its context.
-WINDOW = 8
+#: Words to either side of a hit that are its context, and automaton states that a worker keeps.
+WINDOW, STATES = 8, 50_000
 #: Code of a word: no hit, term, misspelled term, stem, misspelled stem.
 NONE, EXACT, FUZZY, STEM, FUZZY_STEM = range(5)
 
@@ -70,6 +71,10 @@ class FuzzyTrie:
                     node = self.child[node][c]
                 self.most[node] = max(self.most[node], allowed)
                 ends[node] = allowed
+        self._begin()
+
+    def _begin(self) -> None:
+        """No states but the first."""
         self.sets: list[frozenset[tuple[int, int]]] = []
         self.step: list[dict[str, int]] = []
         self.final: list[int] = []
@@ -116,6 +121,8 @@ class FuzzyTrie:
 
     def match(self, word: str) -> int:
         """The code of a word."""
+        if len(self.sets) > STATES:
+            self._begin()
         s, code = self.start, NONE
         for c in word:
             to = self.step[s].get(c)
@@ -164,7 +171,7 @@ class Scorer:
             code = self.codes.codes[at]
             hit = np.flatnonzero(code)
             doc = np.searchsorted(first, hit, "right") - 1
-            quoted = _quoted(buf, off, starts[hit], doc)
+            quoted = _quoted(buf, starts, ends, first, hit, doc)
             near = np.zeros(len(hit))
             for a, b in ((slice(1, None), slice(None, -1)), (slice(None, -1), slice(1, None))):
                 near[a] += (np.abs(hit[a] - hit[b]) <= WINDOW) & (doc[a] == doc[b])
@@ -176,16 +183,32 @@ class Scorer:
         return np.concatenate(rows) if rows else np.zeros((0, len(FEATURES)))
 
 
-def _quoted(buf: np.ndarray, off: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether each word lies in quotation marks: an odd number of straight ones before it in its text, or more opened than closed."""
-    if not len(at):
+def _quoted(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, hit: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each hit (a word's number) lies in quotation marks within its window.
+
+    A word that begins with a mark opens a quotation and one that ends with a mark, but for punctuation, closes it; the
+    opening one is at most WINDOW words before, the closing one at most WINDOW after, and none closes between.
+    """
+    if not len(hit):
         return np.zeros(0, bool)
-    two = lambda a, b: np.concatenate([(buf[:-1] == a) & (buf[1:] == b), [False]])
-    curly = np.concatenate([two(0xE2, 0x80)[:-2] & ((buf[2:] == 0x9C) * 1 - (buf[2:] == 0x9D) * 1), [0, 0]]) if len(buf) > 2 else np.zeros(len(buf), int)
-    pairs = np.concatenate([[0], np.cumsum(two(0xC2, 0xAB) * 1 - two(0xC2, 0xBB) * 1 + curly)])
-    plain = np.concatenate([[0], np.cumsum(buf == 34)])
-    to, begin = np.minimum(at + 1, len(buf)), off[doc]
-    return ((plain[to] - plain[begin]) % 2 == 1) | (pairs[to] > pairs[begin])
+    n = len(starts)
+    padded = np.concatenate([np.zeros(4, np.uint8), buf, np.zeros(4, np.uint8)])
+    at = lambda place, k: padded[place + 4 + k]
+    plain = lambda x: (x == 34) | (x == 39)
+    curly = lambda place, marks: (at(place, 0) == 0xE2) & (at(place, 1) == 0x80) & np.isin(at(place, 2), marks)
+    opens = plain(at(starts, 0)) | curly(starts, (0x98, 0x9C, 0x9E)) | ((at(starts, 0) == 0xC2) & (at(starts, 1) == 0xAB))
+    last = np.where(np.isin(at(ends, -1), [ord(c) for c in ".,;:!?"]) & (ends - starts > 1), ends - 1, ends)
+    closes = np.zeros(n, bool)
+    for end in (last, ends):
+        closes |= plain(at(end, -1)) | curly(end - 3, (0x99, 0x9C, 0x9D)) | ((at(end, -2) == 0xC2) & (at(end, -1) == 0xBB))
+    alone = opens & (ends - starts == 1)
+    number = np.arange(n)
+    before = np.maximum.accumulate(np.where(opens, number, -1))
+    closed = np.maximum.accumulate(np.where(closes, number, -1))
+    after = np.minimum.accumulate(np.where(closes, number, n + WINDOW)[::-1])[::-1]
+    begin, shut, end = before[hit], np.where(hit > 0, closed[hit - 1], -1), after[hit]
+    inside = (begin >= first[doc]) & (hit - begin <= WINDOW) & (end < first[doc + 1]) & (end - hit <= WINDOW)
+    return inside & ((begin > shut) | ((begin == shut) & alone[begin]))
 
 
 @dataclass(frozen=True)
