@@ -1,13 +1,11 @@
 """From raw documents to packed training sequences, in stages that each write Parquet for the next.
 
-Counted as part of the subpackage ``glint.llm``. ``run`` writes each stage's result to a folder of its own under the
-cluster's checkpoint folder (``checkpoint()``), so a lost executor never makes an earlier stage run again.
+Counted as part of the subpackage ``glint.llm``. ``run`` writes each stage's result to the cluster's checkpoint folder,
+so a lost executor never makes an earlier stage run again.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +15,7 @@ from glint.llm.mixing_es import mix_documents
 from glint.llm.ngram_jaccard import drop_copies
 from glint.llm.packing_pow2 import pack_documents
 from glint.llm.quality_qda import keep_quality
+from glint.llm.shared import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,16 +27,15 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack_documents),
 ]
 
-#: A classifier, union-find and a tokenizer: SQL can't say it. Tests compare with a brute-force version.
+#: A classifier, union-find and a tokenizer: SQL can't say it. tests/llm holds the stages against brute force one by one.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each result is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline")
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
+    """All stages over the documents of sf_dir; each result is written as Parquet and read again, the one before deleted."""
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
+    for _, stage in STAGES:
+        after = scratch.write(stage(spark, docs, sf_dir))
+        scratch.drop(docs)
+        docs = after
     return docs
