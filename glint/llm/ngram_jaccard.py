@@ -8,8 +8,9 @@ The steps are those of prefix filtering (PPJoin+):
   n-grams are ordered by their cell's count, then by hash, which is one order for all documents; the prefix is so long
   that two sets with the needed overlap must share an n-gram in their prefixes.
 * Members of a prefix n-gram are candidates (``linking``: each with the bucket's pivot, then what is left between
-  different components). Only pairs that pass the length, positional and suffix filters become rows, and each is
-  verified once by its whole sets.
+  different components). Only pairs that pass the length, positional and suffix filters become rows. The suffix filter
+  is then applied again with bitmaps as wide as the sets, since a sketch of fixed width tells nothing of large ones,
+  and what is left is verified once by its whole sets.
 
 Scale: the counts are arrays of a fixed number of cells, summed by slab; with many more n-grams than cells the order
 tells less and buckets grow, but results stay. The n-gram buckets that only one set has are dropped by an aggregation
@@ -120,6 +121,29 @@ def sketches(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def bitmaps(grams: np.ndarray, first: np.ndarray) -> pa.Array:
+    """A bitmap of each set, as wide as the set is large: the next power of two, 64 bits at least.
+
+    A bit is set where an odd number of n-grams fall. A wider one folds to the width of a narrower one.
+    """
+    size = np.diff(first)
+    wide = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    cut = np.concatenate([[0], np.cumsum(wide)])
+    of = np.repeat(np.arange(len(size)), size)
+    bit = cut[:-1][of] + (mix(grams) & (wide[of] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=cut[-1]) & 1).astype(bool)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((cut // 8).astype(np.int32)), pa.py_buffer(np.packbits(odd, bitorder="little"))])
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many bits two bitmaps differ, folded to one width: never more than their sets differ in elements."""
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 _WORDS = [f"s{i}" for i in range(SKETCH)]
 
 
@@ -151,14 +175,16 @@ def groups(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80) ->
                 own = [b.column(c).slice(row, len(size)) for c in ("doc_id", "tag")]
                 row += len(size)
                 out = [*own, pa.array(signed(ids)), pa.array(size, pa.int64()), _lists(signed(gram), np.searchsorted(text, np.arange(len(size) + 1)), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*out, *(pa.array(signed(words[:, i])) for i in range(SKETCH))], ["doc_id", "tag", "vertex", "n_shingles", "grams", *_WORDS])
+                out += [bitmaps(grams, first), *(pa.array(signed(words[:, i])) for i in range(SKETCH))]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "tag", "vertex", "n_shingles", "grams", "bits", *_WORDS])
 
-    schema = f"doc_id long, tag long, vertex long, n_shingles long, grams array<long>, {', '.join(f'{w} long' for w in _WORDS)}"
+    schema = f"doc_id long, tag long, vertex long, n_shingles long, grams array<long>, bits binary, {', '.join(f'{w} long' for w in _WORDS)}"
     base = scratch.write(docs.mapInArrow(rows, schema))
-    one = scratch.write(base.where("n_shingles > 0").select("vertex", F.col("n_shingles").alias("n"), "grams", *_WORDS).dropDuplicates(["vertex"]))
+    one = scratch.write(base.where("n_shingles > 0").select("vertex", F.col("n_shingles").alias("n"), "grams", "bits", *_WORDS).dropDuplicates(["vertex"]))
+    wide = scratch.write(one.select("vertex", "n", "bits"))
     members = one.select("vertex", F.posexplode("grams").alias("pos", "bucket"))
     members = members.join(shared_buckets(members), "bucket", "left_semi")
-    members = scratch.write(members.join(one.drop("grams"), "vertex"))
+    members = scratch.write(members.join(one.drop("grams", "bits"), "vertex"))
     scratch.drop(one)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +192,16 @@ def groups(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80) ->
             for grams, first in sets(b.column("text"), n):
                 yield pa.RecordBatch.from_arrays([pa.array(signed(set_ids(grams, first))), _lists(signed(grams), first, pa.int64())], ["vertex", "grams"])
 
+    def close(pairs: DataFrame) -> DataFrame:
+        """The pairs whose bitmaps leave them a chance; a bitmap is a fiftieth of the set."""
+        ends = scratch.sized(_ends(pairs))
+        hubs = scratch.sized(pairs.select(F.col("hub").alias("vertex")).distinct())
+        hubs = wide.join(hubs, "vertex", "left_semi").select(F.col("vertex").alias("hub"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+        both = wide.join(ends, "vertex").select("a", "b", "hub", F.col("n").alias("n_a"), F.col("bits").alias("bits_a")).join(hubs, "hub")
+        return scratch.write(both.mapInArrow(_close(percent), "a long, b long, hub long"))
+
     def verify(pairs: DataFrame) -> DataFrame:
+        pairs = close(pairs)
         needed = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
         at = base.join(needed, "vertex", "left_semi").groupBy("vertex").agg(F.min(F.struct("doc_id", "tag")).alias("at"))
         at = scratch.sized(at.select(F.col("at.doc_id").alias("_id"), F.col("at.tag").alias("_tag")))
@@ -175,7 +210,7 @@ def groups(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80) ->
         if made.count() > needed.count():  # rows that are equal in doc_id and text
             made = scratch.write(made.dropDuplicates(["vertex"]))
         # the whole set travels for one end of each pair, to meet its hub's
-        ends = scratch.sized(pairs.select("a", "b", "hub", F.when(F.col("a") == F.col("hub"), F.col("b")).otherwise(F.col("a")).alias("vertex")))
+        ends = scratch.sized(_ends(pairs))
         hubs = scratch.sized(pairs.select(F.col("hub").alias("vertex")).distinct())
         hubs = made.join(hubs, "vertex", "left_semi").select(F.col("vertex").alias("hub"), F.col("grams").alias("grams_b"))
         both = made.join(ends, "vertex").select("a", "b", "hub", F.col("grams").alias("grams_a")).join(hubs, "hub")
@@ -184,7 +219,7 @@ def groups(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80) ->
         return found
 
     found = linked(members, verify, _may_link(percent), scratch)
-    scratch.drop(members)
+    scratch.drop(members, wide)
     d = base.select("doc_id", "tag", "vertex", "n_shingles").join(found, "vertex", "left")
     return d.select("doc_id", "tag", "n_shingles", F.coalesce("component", "vertex").alias("component"))
 
@@ -202,6 +237,23 @@ def _lists(flat: np.ndarray, cut: np.ndarray, kind: pa.DataType) -> pa.ListArray
     return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat, kind))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """a, b, hub, and as vertex the one of the two that isn't the hub."""
+    return pairs.select("a", "b", "hub", F.when(F.col("a") == F.col("hub"), F.col("b")).otherwise(F.col("a")).alias("vertex"))
+
+
+def _close(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
+            most = total - 2 * -(-percent * total // (100 + percent))
+            maps = zip(b.column("bits_a"), b.column("bits_b"), strict=True)
+            keep = [differing(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair)) <= most[i] for i, pair in enumerate(maps)]
+            yield b.select(["a", "b", "hub"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
