@@ -115,29 +115,63 @@ def host_matches(host: Column, pattern: Column) -> Column:
     return (host != "") & F.when(block, inside).when(pattern.startswith("*."), below).otherwise(host == pattern)
 
 
+def _plain(c: Column) -> Column:
+    """A host or pattern as it is compared: lower case, without white space around and dots at its end."""
+    return F.lower(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"\.+$", ""))
+
+
+def _block(address: Column, bits: Column) -> Column:
+    """A name for the block of so many bits that the address is in."""
+    return F.concat(F.floor(C.ipv4_number(address) / F.pow(F.lit(2.0), 32 - bits).cast("bigint")), F.lit("/"), bits)
+
+
+def pattern_key(pattern: Column) -> Column:
+    """What a pattern is joined by: its block of addresses, else itself."""
+    p = _plain(pattern)
+    block = p.rlike(r"\A\d{1,3}(\.\d{1,3}){3}/\d{1,2}\z")
+    bits = F.least(F.try_element_at(F.split(p, "/"), F.lit(2)).try_cast("int"), F.lit(32))
+    return F.when(block, _block(F.split(p, "/")[0], bits)).otherwise(p)
+
+
+def host_keys(host: Column) -> Column:
+    """The keys of all patterns that a host matches: itself, *. with each part above it, and its blocks of addresses."""
+    h = _plain(host)
+    labels = F.split(h, r"\.")
+    n = F.size(labels)
+    above = F.when(n > 1, F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.concat(F.lit("*."), F.array_join(F.slice(labels, i, n), "."))))
+    blocks = F.when(C.ipv4_number(h).isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(32)), lambda b: _block(h, b)))
+    none = F.array().cast("array<string>")
+    return F.when(h == "", none).otherwise(F.array_distinct(F.concat(F.array(h), F.coalesce(above, none), F.coalesce(blocks, none))))
+
+
 def authorize(targets: DataFrame, grants: DataFrame, today: str) -> DataFrame:
     """Each target (host) with the decision of the best grant: host, allowed, reason, engagement_id.
 
-    ``grants``: engagement_id, scope and exclusions (arrays), status, starts_at and expires_at (dates, both inclusive).
-    An exclusion of any grant beats what another allows; a grant whose scope fits but that isn't in force comes next.
-    Grants are few, a row for each engagement, but are joined by Spark's own choice.
+    ``grants``: engagement_id, scope and exclusions (arrays), status, starts_at and expires_at (dates, both inclusive)
+    and, if there, created_at. An exclusion of any grant beats what another allows; a grant whose scope fits but that
+    isn't in force comes next; of equals the latest made, then the least id. Hosts meet patterns by equal keys.
     """
     day = F.lit(today).cast("date")
-    any_of = lambda c: F.exists(F.coalesce(c, F.array().cast("array<string>")), lambda p: host_matches(F.col("host"), p))
+    made = F.col("created_at").cast("timestamp") if "created_at" in grants.columns else F.lit(None).cast("timestamp")
+    grants = grants.withColumns({"_made": F.coalesce(F.unix_micros(made), F.lit(0)), "_grant": F.struct("engagement_id", "status", "starts_at", "expires_at")})
+    listed = lambda c, out: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda p: F.struct(pattern_key(p).alias("key"), F.lit(out).alias("out")))
+    patterns = grants.select("_grant", "_made", F.explode(F.concat(listed(F.col("scope").cast("array<string>"), False), listed(F.col("exclusions").cast("array<string>"), True))).alias("_p"))
+    patterns = patterns.select("_grant", "_made", "_p.key", "_p.out").where("key != ''").distinct()
     out = targets.select("host").distinct()
-    j = out.join(grants, any_of(F.col("scope")) | any_of(F.col("exclusions")), "left")
-    reason = (
-        F.when(F.col("engagement_id").isNull(), "no authorization")
-        .when(any_of(F.col("exclusions")), "excluded")
-        .when(F.col("status") != "active", "not active")
-        .when(day < F.col("starts_at"), "not yet valid")
-        .when(day > F.col("expires_at"), "expired")
-        .otherwise("allowed")
+    j = out.select("host", F.explode(host_keys(F.col("host"))).alias("key")).join(patterns, "key")
+    j = j.withColumn(
+        "reason",
+        F.when(F.col("out"), "excluded")
+        .when(~F.col("_grant.status").eqNullSafe(F.lit("active")), "not active")
+        .when(day < F.col("_grant.starts_at"), "not yet valid")
+        .when(day > F.col("_grant.expires_at"), "expired")
+        .otherwise("allowed"),
     )
-    j = j.withColumn("reason", reason)
-    rank = F.when(F.col("reason") == "excluded", 0).when(F.col("reason") == "allowed", 1).when(F.col("engagement_id").isNotNull(), 2).otherwise(3)
-    best = F.min(F.struct(rank.alias("r"), F.col("engagement_id"), F.col("reason"))).alias("b")
-    return j.groupBy("host").agg(best).select("host", (F.col("b.reason") == "allowed").alias("allowed"), "b.reason", "b.engagement_id")
+    rank = F.when(F.col("out"), 0).when(F.col("reason") == "allowed", 1).otherwise(2)
+    best = F.min(F.struct(rank.alias("r"), (-F.col("_made")).alias("m"), F.col("_grant.engagement_id").alias("engagement_id"), F.col("reason"))).alias("b")
+    d = out.join(j.groupBy("host").agg(best), "host", "left")
+    reason = F.coalesce("b.reason", F.lit("no authorization"))
+    return d.select("host", (reason == "allowed").alias("allowed"), reason.alias("reason"), "b.engagement_id")
 
 
 def robots_groups(lines: DataFrame, key: str = "site") -> DataFrame:
