@@ -39,6 +39,10 @@ from glint.llm.textarrays import SMALL, blocks, mix, signed, starts_of_codepoint
 
 SHINGLE, BANDS, ROWS = 8, 9, 3
 PERCENT = 80
+#: Bits of the widest sketch. Lines with more than half as many shingles are told apart less well before they are verified.
+WIDEST = 1 << 14
+#: Pairs that a task verifies, about.
+PAIRS = 20_000
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _BINS = BANDS * ROWS
@@ -108,6 +112,21 @@ def signatures(h: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys, np.packbits(bits).view(np.uint64).reshape(n, SKETCH)
 
 
+def wide_sketches(h: np.ndarray, made: np.ndarray) -> pa.ListArray:
+    """Words of a sketch of two to four bits a shingle for lines that SKETCH words are too few for; none for others.
+
+    The first half of a sketch folded onto the second is the sketch of half the width.
+    """
+    bits = np.minimum(1 << np.ceil(np.log2(np.maximum(2 * made, 1))).astype(np.int64), WIDEST)
+    bits[bits <= SKETCH * 64] = 0
+    cut = np.concatenate([[0], np.cumsum(bits)])
+    line = np.repeat(np.arange(len(made)), made)
+    keep = bits[line] > 0
+    line, field = line[keep], np.zeros(cut[-1], bool)
+    field[cut[:-1][line] + ((h[keep] >> np.uint64(16)) & (bits[line] - 1).astype(np.uint64)).astype(np.int64)] = True
+    return pa.ListArray.from_arrays(pa.array(cut // 64, pa.int32()), pa.array(signed(np.packbits(field).view(np.uint64))))
+
+
 _WORDS = [f"s{i}" for i in range(SKETCH)]
 _PLACES = "doc_id long, tag long, line_no long, vertex long"
 
@@ -123,7 +142,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(at):
                 keys, words = signatures(h, made)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(signed(keys.ravel())), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(lines.ids[at])), pa.array(made), lists, *(pa.array(signed(words[:, i])) for i in range(SKETCH))], ["vertex", "n", "buckets", *_WORDS])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(lines.ids[at])), pa.array(made), lists, wide_sketches(h, made), *(pa.array(signed(words[:, i])) for i in range(SKETCH))], ["vertex", "n", "buckets", "wide", *_WORDS])
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,13 +169,42 @@ def similar(left: list[str], right: list[str], percent: int) -> np.ndarray:
     return (sizes[2] > 0) & (100 * sizes[2] >= percent * (sizes[0] + sizes[1] - sizes[2]))
 
 
+def _sketched(h: np.ndarray, made: np.ndarray) -> np.ndarray:
+    """A row of WIDEST bits, as words, for each line."""
+    n, ends = len(made), np.cumsum(made)
+    out = np.zeros((n, WIDEST // 64), np.uint64)
+    for a in range(0, n, 256):
+        z = min(a + 256, n)
+        part = h[ends[a] - made[a] : ends[z - 1]]
+        field = np.zeros((z - a) * WIDEST, bool)
+        field[np.repeat(np.arange(z - a) * WIDEST, made[a:z]) + ((part >> np.uint64(16)) & np.uint64(WIDEST - 1)).astype(np.int64)] = True
+        out[a:z] = np.packbits(field).view(np.uint64).reshape(z - a, -1)
+    return out
+
+
+def may_be_similar(left: pa.Array, right: pa.Array, percent: int) -> np.ndarray:
+    """Whether sketches leave each pair of lines a chance; a line of many pairs is read once."""
+    coded = pa.concat_arrays([left, right]).dictionary_encode()
+    h, made = char_shingles([x.encode() for x in coded.dictionary.to_pylist()])
+    words, at = _sketched(h, made), coded.indices.to_numpy()
+    i, j = at[: len(left)], at[len(left) :]
+    differ = np.zeros(len(i), np.int64)
+    for a in range(0, len(i), 1000):
+        differ[a : a + 1000] = np.bitwise_count(words[i[a : a + 1000]] ^ words[j[a : a + 1000]]).sum(1)
+    return differ * (100 + percent) <= (100 - percent) * (made[i] + made[j])
+
+
 def _verifier(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, 1000):
-                part = b.slice(a, 1000)
-                keep = similar(part.column("line_a").to_pylist(), part.column("line_b").to_pylist(), percent)
-                yield part.select(["a", "b"]).filter(pa.array(keep))
+            step = max(1, 8_000_000 * b.num_rows // max(b.nbytes, 1))
+            for a in range(0, b.num_rows, step):
+                part = b.slice(a, step)
+                part = part.filter(pa.array(may_be_similar(part.column("line_a"), part.column("line_b"), percent)))
+                for z in range(0, part.num_rows, 1000):
+                    left = part.slice(z, 1000)
+                    keep = similar(left.column("line_a").to_pylist(), left.column("line_b").to_pylist(), percent)
+                    yield left.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -171,15 +219,24 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _may_link(percent: int) -> str:
-    """What two lines of the needed likeness have: sketches that differ in no more bits than their sets in shingles."""
-    return f"{sketch_distance()} * {100 + percent} <= {100 - percent} * (a_n + b_n)"
+    """What two lines of the needed likeness have: sketches that differ in no more bits than their sets in shingles.
+
+    Wide sketches are compared only where the narrow ones allow it, the wider of two folded to the width of the other.
+    """
+    near = lambda bits: f"{bits} * {100 + percent} <= {100 - percent} * (a_n + b_n)"
+    differ = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+    half = lambda x: f"zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (p, q) -> p | q)"
+    wide = f"""CASE WHEN size(a_wide) = size(b_wide) THEN {differ("a_wide", "b_wide")}
+      WHEN size(a_wide) = 2 * size(b_wide) THEN {differ(half("a_wide"), "b_wide")}
+      WHEN size(b_wide) = 2 * size(a_wide) THEN {differ("a_wide", half("b_wide"))} ELSE 0 END"""
+    return f"{near(sketch_distance())} AND {near(wide)}"
 
 
 def dropped_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, tag (xxhash64 of the text), drop: the numbers of the lines that others stand for; documents without such are left out."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
-    made = scratch.write(docs.select("text").mapInArrow(_signed, f"vertex long, n long, buckets array<long>, {', '.join(f'{w} long' for w in _WORDS)}"))
+    made = scratch.write(docs.select("text").mapInArrow(_signed, f"vertex long, n long, buckets array<long>, wide array<long>, {', '.join(f'{w} long' for w in _WORDS)}"))
     rows = made.select("vertex", F.explode("buckets").alias("bucket"))
     rows = rows.join(shared_buckets(rows), "bucket", "left_semi").distinct()
     features = made.drop("buckets").dropDuplicates(["vertex"])
@@ -196,6 +253,8 @@ def dropped_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         asked = docs.join(scratch.sized(at), ["doc_id", "tag"]).select("text", "numbers")
         lines = scratch.write(asked.mapInArrow(_fetched, "vertex long, line string").dropDuplicates(["vertex"]))
         side = lambda k: lines.select(F.col("vertex").alias(k), F.col("line").alias(f"line_{k}"))
+        # few bytes of pairs are many of lines: enough tasks for what they become
+        pairs = pairs.repartition(max(pairs.sparkSession.sparkContext.defaultParallelism, pairs.count() // PAIRS))
         found = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verifier(percent), "a long, b long"))
         scratch.drop(lines)
         return found

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from glint.llm import line_minhash
 
 
@@ -40,3 +43,28 @@ def test_short_lines_against_brute_force(spark):
     got = _left(spark, lines)
     wrong = [i for i, g in enumerate(group) if got[i].n_dropped != (first[g] != i)]
     assert len(set(group)) < len(lines) and not wrong
+
+
+def test_sketches_leave_every_link():
+    """Narrow, wide, folded and widest sketches never differ in more bits than the shingle sets in elements."""
+    rng = np.random.default_rng(5)
+    lines = []
+    for n in (20, 120, 255, 300, 512, 600, 1100, 9000):
+        base = "".join(map(chr, rng.integers(97, 123, n)))
+        lines += [base, base[: n * 9 // 10], base + "zq" * (n // 25), base[: n // 2] + "é" + base[n // 2 + 1 :], base[::-1]]
+    pairs = [(a, b) for a in lines for b in lines]
+    left, right = pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs])
+    linked = line_minhash.similar(left.to_pylist(), right.to_pylist(), 80)
+    assert 100 < linked.sum() < len(pairs)
+    maybe = line_minhash.may_be_similar(left, right, 80)
+    assert maybe[linked].all() and not maybe.all()
+    h, made = line_minhash.char_shingles([x.encode() for x in lines])
+    wide = line_minhash.wide_sketches(h, made).to_pylist()
+    for (a, b), link in zip([(i, j) for i in range(len(lines)) for j in range(len(lines))], linked, strict=True):
+        x, y = (np.array(wide[k], np.int64).view(np.uint64) for k in (a, b))
+        if len(x) < len(y):
+            x, y = y, x
+        if len(x) == 2 * len(y):
+            x = x[: len(y)] | x[len(y) :]
+        if link and len(x) == len(y):
+            assert int(np.bitwise_count(x ^ y).sum()) * 180 <= 20 * (made[a] + made[b])
