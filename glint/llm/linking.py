@@ -96,6 +96,7 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_lin
         pairs = scratch.write(pairs if done is None else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
         if turn == turns:
             scratch.drop(rows)
+        scratch.release()  # the shuffles of members are by far the largest files
         if pairs.isEmpty():
             continue
         done = pairs

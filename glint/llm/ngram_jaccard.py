@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glint.llm.linking import SKETCH, linked, shared_buckets, sketch_distance
-from glint.llm.shared import Scratch, fresh
+from glint.llm.shared import Scratch, fresh, lean, small_batches
 from glint.llm.textarrays import SMALL, blocks, hashes, mix, shingles, signed, spans
 
 #: Cells of the occurrence counts, and the slabs that they are summed in.
@@ -67,6 +67,7 @@ def occurrences(docs: DataFrame, n: int, cells: int = CELLS) -> np.ndarray:
     """How often n-grams of each cell occur in all documents, up to 65,535."""
     width = cells // SLABS
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.int32)
         for b in batches:
@@ -82,7 +83,8 @@ def occurrences(docs: DataFrame, n: int, cells: int = CELLS) -> np.ndarray:
             total += np.frombuffer(zlib.decompress(x), "<u2")
         return pa.table({"slab": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(np.minimum(total, 65535).astype("<u2").tobytes(), 1)], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(count, "slab int, counts binary").groupBy("slab").applyInArrow(add, "slab int, counts binary").collect()
+    with small_batches(docs.sparkSession):
+        parts = docs.select("text").mapInArrow(count, "slab int, counts binary").groupBy("slab").applyInArrow(add, "slab int, counts binary").collect()
     out = np.zeros((SLABS, width), "<u2")
     for r in parts:  # SLABS rows of a fixed size
         out[r["slab"]] = np.frombuffer(zlib.decompress(r["counts"]), "<u2")
@@ -163,6 +165,7 @@ def groups(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80) ->
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
     packed = zlib.compress(occurrences(docs, n).tobytes(), 1)
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row a document: its set's id and size, its prefix n-grams in their order, and its sketch."""
         classes = _classes(packed)
@@ -181,12 +184,18 @@ def groups(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80) ->
     schema = f"doc_id long, tag long, vertex long, n_shingles long, grams array<long>, bits binary, {', '.join(f'{w} long' for w in _WORDS)}"
     base = scratch.write(docs.mapInArrow(rows, schema))
     one = scratch.write(base.where("n_shingles > 0").select("vertex", F.col("n_shingles").alias("n"), "grams", "bits", *_WORDS).dropDuplicates(["vertex"]))
+    scratch.release()
     wide = scratch.write(one.select("vertex", "n", "bits"))
     members = one.select("vertex", F.posexplode("grams").alias("pos", "bucket"))
     members = members.join(shared_buckets(members), "bucket", "left_semi")
+    members = scratch.write(members)
+    scratch.release()
+    narrow = members
     members = scratch.write(members.join(one.drop("grams", "bits"), "vertex"))
-    scratch.drop(one)
+    scratch.drop(one, narrow)
+    scratch.release()
 
+    @lean
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for grams, first in sets(b.column("text"), n):
@@ -198,7 +207,9 @@ def groups(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80) ->
         hubs = scratch.sized(pairs.select(F.col("hub").alias("vertex")).distinct())
         hubs = wide.join(hubs, "vertex", "left_semi").select(F.col("vertex").alias("hub"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
         both = wide.join(ends, "vertex").select("a", "b", "hub", F.col("n").alias("n_a"), F.col("bits").alias("bits_a")).join(hubs, "hub")
-        return scratch.write(both.mapInArrow(_close(percent), "a long, b long, hub long"))
+        out = scratch.write(both.mapInArrow(_close(percent), "a long, b long, hub long"))
+        scratch.release()
+        return out
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = close(pairs)
@@ -216,10 +227,12 @@ def groups(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80) ->
         both = made.join(ends, "vertex").select("a", "b", "hub", F.col("grams").alias("grams_a")).join(hubs, "hub")
         found = scratch.write(both.mapInArrow(_verified(percent), "a long, b long"))
         scratch.drop(made)
+        scratch.release()
         return found
 
     found = linked(members, verify, _may_link(percent), scratch)
     scratch.drop(members, wide)
+    scratch.release()
     d = base.select("doc_id", "tag", "vertex", "n_shingles").join(found, "vertex", "left")
     return d.select("doc_id", "tag", "n_shingles", F.coalesce("component", "vertex").alias("component"))
 
@@ -243,6 +256,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _close(percent: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
@@ -255,6 +269,7 @@ def _close(percent: int):
 
 
 def _verified(percent: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets_of = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (b.column("grams_a"), b.column("grams_b"))]

@@ -98,3 +98,14 @@ def test_release_deletes_shuffle_files(spark):
     scratch.release()
     time.sleep(5)
     assert held() <= before + 100_000
+
+
+def test_python_gets_few_rows_at_once(spark):
+    def sizes(batches):
+        for b in batches:
+            yield b.from_pydict({"n": [b.num_rows]})
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    table = Scratch(spark).write(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long"))
+    assert [r.n for r in table.collect()] == [1000] * 5 and spark.conf.get(name) == before
