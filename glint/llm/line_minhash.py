@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glint.llm.linking import SKETCH, components
-from glint.llm.shared import Scratch, fresh
+from glint.llm.shared import Scratch, fresh, lean
 from glint.llm.textarrays import SMALL, blocks, mix, signed, starts_of_codepoints
 
 SHINGLE, BANDS, ROWS = 8, 9, 3
@@ -159,6 +159,7 @@ def _packed(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), column], ["slab", "data"])
 
 
+@lean
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """slab, data of all lines that have a shingle."""
     keys, ids, n = [], [], 0
@@ -205,6 +206,7 @@ def _whole(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Ite
 def _buckets(most: int):
     """bucket, part, vertex of the bands that several lines have; bands of the same lines are the same bucket."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole(batches, ["slab"], SORTED):
             rows = [np.frombuffer(x, _BAND) for x in t.column("data").to_pylist()]
@@ -241,6 +243,7 @@ def _buckets(most: int):
     return run
 
 
+@lean
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """vertex, line of the lines with the numbers asked for."""
     for b in batches:
@@ -353,6 +356,7 @@ def _pairwise(vertex: np.ndarray, lines: list[str], first: np.ndarray, size: np.
 def _linker(keys: list[str], percent: int):
     """a, b: links that join what is linked among the lines of equal keys. Rows come sorted by keys and vertex."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole(batches, keys, 2 * STEP):
             vertex, lines = t.column("vertex").to_numpy(), t.column("line").to_pylist()
@@ -404,6 +408,7 @@ def groups(buckets: DataFrame, lines: DataFrame, percent: int, scratch: Scratch)
     return found
 
 
+@lean
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, tags = b.column("doc_id"), b.column("tag")

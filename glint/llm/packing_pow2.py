@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glint.llm.shared import Scratch
+from glint.llm.shared import Scratch, lean
 from glint.llm.textarrays import Seen, blocks, spans
 
 #: Tokens of the longest piece, the id after each document, and pieces of a slice, about.
 LONGEST, END_ID, SLICE_ROWS = 2048, 1, 20_000
 TOKENIZER = "word_bpe_49k.json"
+#: Words that are handed to the tokenizer at once.
+AT_ONCE = 2000
 
 
 class _Words:
@@ -50,11 +52,14 @@ class _Words:
         self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def __call__(self, words: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [e.ids for e in got]
-        sizes = np.cumsum([len(x) for x in ids])
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
-        self.first = np.concatenate([self.first, self.first[-1] + sizes])
+        flat, sizes = [self.flat], []
+        for a in range(0, len(words), AT_ONCE):  # the tokenizer's own results take far more memory than the ids
+            got = self.tokenizer.encode_batch_fast([w.decode() for w in words[a : a + AT_ONCE]], add_special_tokens=False)
+            ids = [e.ids for e in got]
+            sizes += map(len, ids)
+            flat.append(np.array([i for x in ids for i in x], np.uint32))
+        self.flat = np.concatenate(flat)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes, dtype=np.int64)])
 
 
 @lru_cache(maxsize=1)
@@ -88,6 +93,7 @@ def pieces(docs: DataFrame, longest: int = LONGEST, with_ids: bool = True, file:
         raise ValueError("longest must be a power of two")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END_ID], np.uint32)
         for b in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from glint.llm.folds import bounded_sample, crc_fold
-from glint.llm.shared import fresh
+from glint.llm.shared import fresh, lean
 from glint.llm.textarrays import blocks, hashes, shingles, spans
 
 #: Labelled rows of each class that the model is fitted on, at most (about).
@@ -142,6 +142,7 @@ def fit(counts: np.ndarray, label: np.ndarray, prior: float | None = None) -> Qd
     return Qda(mean, float(np.log(prior / (1 - prior))), centre, inverse, log_det)
 
 
+@lean
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         c = statistics(b.column("text"))
@@ -166,6 +167,7 @@ def score(docs: DataFrame, model: Qda, name: str = "quality_score") -> DataFrame
     if name in docs.columns:
         raise ValueError(f"docs has a column {name}; pass another name for the score")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = model.score(statistics(b.column("text")))
@@ -193,6 +195,7 @@ def op7_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scored(docs: DataFrame, model: Qda) -> DataFrame:
     """doc_id and score only: no text comes back from Python."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(statistics(b.column("text"))), pa.float64())], ["doc_id", "score"])

@@ -109,3 +109,24 @@ def test_python_gets_few_rows_at_once(spark):
     before = spark.conf.get(name)
     table = Scratch(spark).write(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long"))
     assert [r.n for r in table.collect()] == [1000] * 5 and spark.conf.get(name) == before
+
+
+def test_the_tokenizer_gets_few_words_at_once(monkeypatch):
+    from glint.llm import packing_pow2
+
+    words = [f"w{i}x{i * i}".encode() for i in range(5000)]
+    whole, parts, got = packing_pow2._Words(packing_pow2.TOKENIZER), packing_pow2._Words(packing_pow2.TOKENIZER), []
+    monkeypatch.setattr(packing_pow2, "AT_ONCE", 10_000)
+    whole(words)
+    monkeypatch.setattr(packing_pow2, "AT_ONCE", 700)
+    encode = parts.tokenizer.encode_batch_fast
+
+    class Counted:
+        def encode_batch_fast(self, some, **kw):
+            got.append(len(some))
+            return encode(some, **kw)
+
+    parts.tokenizer = Counted()
+    parts(words[:3000])
+    parts(words[3000:])
+    assert max(got) == 700 and (whole.flat == parts.flat).all() and (whole.first == parts.first).all()
