@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from glint.functions.registry import DETECTORS
 from glint.operators.history import severity_summary
 
 ROWS_PER_BUCKET = 250
+#: Pieces at least, over all documents, in which their items are sorted and put into JSON.
+PIECES = 200
 
 
 def masked(found: DataFrame, value: str = "value", snippet: str = "context_snippet") -> DataFrame:
@@ -53,17 +57,60 @@ def sarif(found: DataFrame, by: str = "scan_id") -> DataFrame:
     )
     rules = F.array(*[F.struct(F.lit("glint/" + d.name.lower().replace(" ", "-").replace("/", "-")).alias("id"), F.lit(d.name).alias("name"), F.struct(F.lit(d.severity).alias("severity"), F.lit(d.cwe).alias("cwe")).alias("properties")) for d in DETECTORS])
     driver = F.struct(F.struct(F.lit("glint").alias("name"), rules.alias("rules")).alias("driver"))
-    runs = d.groupBy(by).agg(F.array_sort(F.collect_list(result)).alias("results"))
-    doc = F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(driver.alias("tool"), F.col("results"))).alias("runs"))
-    return runs.select(by, F.to_json(doc).alias("sarif"))
+    none = F.from_json(F.lit("[]"), "array<int>")
+    frame = F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(driver.alias("tool"), none.alias("results"))).alias("runs")))
+    head = F.substring(frame, F.lit(1), F.length(frame) - 4)  # up to the bracket that opens the results
+    pieces = json_pieces(d.select(by, result.alias("_item")), by).select(by, F.struct("_p", "_text").alias("_s"))
+    return pieces.groupBy(by).agg(_document(lambda p, i, all: F.when(i == 0, head).otherwise(","), "]}]}").alias("sarif"))
+
+
+def json_pieces(d: DataFrame, *keys: str) -> DataFrame:
+    """keys, _p, _text: the column _item of all rows of a key in JSON, sorted, without brackets, in pieces numbered by _p.
+
+    A task holds a piece or a few; only who puts a document together from its pieces holds the document. Both numbers of
+    partitions are given, since adaptive execution would put the pieces into as many tasks as there are cores.
+    """
+    n = max(PIECES, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = d.repartitionByRange(n, *keys, "_item").withColumn("_p", F.spark_partition_id()).repartition(n, *keys, "_p")
+    return rows.groupBy(*keys, "_p").agg(_unwrapped(F.sort_array(F.collect_list("_item"))).alias("_text"))
+
+
+def _document(lead: Callable[[Column, Column, Column], Column], end: str) -> Column:
+    """The pieces _s (sorted by their first fields, with _text), each behind its ``lead`` of piece, place and all pieces.
+
+    One expression over the list, without a column of its own: each further column is another copy of the document.
+    """
 
+    def joined(all: Column) -> Column:
+        texts = F.flatten(F.transform(all, lambda p, i: F.array(lead(p, i, all), p["_text"])))
+        return F.concat_ws("", F.concat(texts, F.array(F.lit(end))))
 
-def json_report(found: DataFrame, by: str = "scan_id") -> DataFrame:
-    """A JSON document of each scan with its masked findings by bucket."""
+    return C.bound(F.sort_array(F.collect_list("_s")), joined)
+
+
+def _unwrapped(items: Column) -> Column:
+    """The JSON of an array without its brackets."""
+    return C.bound(F.to_json(items), lambda t: F.substring(t, F.lit(2), F.length(t) - 2))
+
+
+def json_report(found: DataFrame, by: str = "scan_id", beside: DataFrame | None = None) -> DataFrame:
+    """A JSON document of each scan with its masked findings by bucket.
+
+    ``beside``: a row of other columns for each of these scans, which come along; a join would copy each document again.
+    """
     d = masked(found)
     row = F.struct(*[c for c in d.columns if c not in (by, "bucket")])
-    lists = d.groupBy(by, "bucket").agg(F.array_sort(F.collect_list(F.to_json(row))).alias("rows"))
-    return lists.groupBy(by).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "rows"))))).alias("report"))
+    pieces = json_pieces(d.select(by, "bucket", F.to_json(row).alias("_item")), by, "bucket")
+    pieces = pieces.select(by, F.struct("bucket", "_p", _unwrapped(F.array("bucket")).alias("_key"), "_text").alias("_s"))
+
+    def lead(p: Column, i: Column, all: Column) -> Column:
+        opens = F.when(i == 0, "{").when(F.get(all, i - 1)["bucket"] != p["bucket"], "],")
+        return F.when(opens.isNull(), ",").otherwise(F.concat(opens, p["_key"], F.lit(":[")))
+
+    others = [c for c in beside.columns if c != by] if beside is not None else []
+    if others:
+        pieces = pieces.unionByName(beside, allowMissingColumns=True).where(F.col(by).isNotNull())
+    return pieces.groupBy(by).agg(_document(lead, "]}").alias("report"), *[F.first(c, ignorenulls=True).alias(c) for c in others])
 
 
 def html_report(found: DataFrame, by: str = "scan_id") -> DataFrame:

@@ -302,7 +302,7 @@ def q_sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_json_html_reports")
 def q_json_html_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _found(spark, sf_dir)
-    return report.json_report(found).join(report.html_report(found), "scan_id")
+    return report.json_report(found, beside=report.html_report(found))
 
 
 @query(
